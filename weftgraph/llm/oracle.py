@@ -7,7 +7,7 @@ WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 OP3 = rf"""
 WITH d AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
 w AS (SELECT doc_id, {WORDS} AS w FROM d),
-g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
 c AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS rep FROM g),
 e AS (SELECT doc_id, n, unnest(s) AS gram FROM c WHERE doc_id = rep),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap, a.n AS size_a, b.n AS size_b
