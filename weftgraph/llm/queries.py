@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import ngram_jaccard
+from weftgraph.llm import collinear, ngram_jaccard, suffix_family
 
 
 def _read(spark, sf_dir, table):
@@ -13,5 +13,13 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op1_collinear_passages(spark, sf_dir):
+    return collinear.fuzzy_passages(_read(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_family(spark, sf_dir):
+    return suffix_family.long_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
