@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import collinear, ngram_jaccard, suffix_family
+from weftgraph.llm import collinear, decontaminate, ngram_jaccard, pii, suffix_family, toxicity
 
 
 def _read(spark, sf_dir, table):
@@ -21,5 +21,17 @@ def op9_suffix_array_family(spark, sf_dir):
     return suffix_family.long_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op5_template_decontamination(spark, sf_dir):
+    return decontaminate.contaminations(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_subword_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_personal_data(spark, sf_dir):
+    return pii.personal_spans(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
