@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftgraph.llm import licenses
+
 WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 
 OP3 = rf"""
@@ -20,4 +22,4 @@ SELECT rep, doc_id, n, n, n, 1.0::DOUBLE FROM c WHERE doc_id <> rep
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3}
+    return {"op3_ngram_jaccard_join": OP3, "op4_license_digests": licenses.oracle()}

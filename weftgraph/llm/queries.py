@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import collinear, decontaminate, ngram_jaccard, pii, suffix_family, toxicity
+from weftgraph.llm import collinear, decontaminate, licenses, ngram_jaccard, packing, permutation_index, pii, suffix_family, toxicity
 
 
 def _read(spark, sf_dir, table):
@@ -33,5 +33,21 @@ def op7_personal_data(spark, sf_dir):
     return pii.personal_spans(_read(spark, sf_dir, "documents"))
 
 
+def op2_permutation_neighbours(spark, sf_dir):
+    return permutation_index.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_license_digests(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op8_token_matrices(spark, sf_dir):
+    return packing.token_matrices(_read(spark, sf_dir, "documents"))
+
+
+def op10_certified_packing(spark, sf_dir):
+    return packing.certified_packing(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
