@@ -186,8 +186,8 @@ def components(pairs: DataFrame) -> DataFrame:
     from weftgraph.session import shared_checkpoints
 
     shared_checkpoints(pairs.sparkSession)
-    both = pairs.select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y"))
-    edges = both.union(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
+    both = F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("y")))
+    edges = pairs.select(F.explode(both).alias("e")).select("e.*").checkpoint()
     label = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("rep")).checkpoint()
     while True:
         near = edges.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("rep").alias("low"))
@@ -204,4 +204,4 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     """docs without the documents that a smaller id of their group of near copies stands for; rows without id or text stay."""
     groups = components(jaccard_join(docs, n, threshold))
     gone = groups.filter("doc_id <> rep").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

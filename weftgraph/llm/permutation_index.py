@@ -5,13 +5,17 @@ is posted in the inverted file of each of its POST nearest ones; in a large
 table an inverted file is keyed by `join` pivots instead of one, so that files
 stay near TARGET postings however many vectors there are.  In a file every
 vector is a query: the others are ranked by the footrule distance between pivot
-lists (a missing pivot counts as rank LIST), and the best RERANK are reranked by
-exact cosine.  The footrule is accumulated over the lists' common pivots only:
-with weights LIST - rank, two lists differ by a constant minus twice the sum of
-the smaller weights.  The K best of all files stay.
+lists (a missing pivot counts as rank LIST), and the best part of them, RERANK
+and at least LEAST, is reranked by exact cosine.  With weights LIST - rank, the
+footrule of two lists is a constant minus twice the sum of the smaller weights;
+weights are coded as LEVELS steps (1 up to the weight, then 0), so that this sum
+is a matrix product of the coded lists.  The K best of all files stay.
 
 Pivots are a sample of the vectors by the hash of their id; their number grows
 with the table up to MAX_PIVOTS, so what is sent to each task is bounded.
+Recall is set by POST and RERANK: the defaults reach 0.9 on vectors that are
+nearly isotropic in 64 dimensions, the hardest case; clustered vectors do with
+far less.
 
 Result: (vec_id, neighbor_id, similarity, rank), K rows for each vector that
 has so many neighbours in its files; ties go to the smaller id.
@@ -34,8 +38,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import blocks as B
 
-NEIGHBOURS, LIST, POST, RERANK = 10, 16, 5, 160
-TARGET, PER_PIVOT, MAX_PIVOTS = 2000, 128, 4096
+NEIGHBOURS, LIST, LEVELS, POST, RERANK, LEAST = 10, 64, 4, 13, 0.4, 160
+TARGET, PER_PIVOT, PIVOTS, MAX_PIVOTS = 20_000, 16, 192, 4096
+QUERIES = 256
+
+
+def pivots_for(n: int) -> int:
+    """16 vectors a pivot up to PIVOTS, then growing with the square root of the table."""
+    most = max(PIVOTS, round(PIVOTS * (n / 65536) ** 0.5))
+    return max(1, min(n, MAX_PIVOTS, most, max(8, n // PER_PIVOT)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,11 +67,11 @@ def clean(vectors: DataFrame) -> DataFrame:
     return good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, per_pivot: int = PER_PIVOT, target: int = TARGET) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: int = TARGET) -> DataFrame:
     """The k nearest vectors of every vector by cosine, approximately (see the module's text)."""
     good = clean(vectors)
     n = good.count()
-    m = int(min(MAX_PIVOTS, max(8, n // per_pivot), max(n, 1)))
+    m = pivots_for(n)
     chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(m).collect()
     pivots = _unit(np.array([r["embedding"] for r in chosen], np.float32)) if chosen else np.zeros((0, 1), np.float32)
     listed = min(LIST, m)
@@ -92,28 +103,32 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, per_pivot: int = PER_PIV
         perm = np.frombuffer(b"".join(table.column("perm").to_pylist()), np.uint16).reshape(len(ids), -1)[order].astype(np.int64)
         unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(len(ids), -1)[order]
         size = len(ids)
-        weight = np.tile(np.arange(listed, 0, -1), size)
-        flat = perm.ravel()
-        place = np.argsort(flat, kind="stable")
-        member, weight = (place // listed).astype(np.int64), weight[place].astype(np.float32)
-        cut = np.searchsorted(flat[place], np.arange(m + 1))
-        mine = np.arange(listed, 0, -1).astype(np.float32)
-        take = min(RERANK, size - 1)
+        used, local = np.unique(perm, return_inverse=True)
+        local = local.reshape(perm.shape)
+
+        def coded(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(rows), LEVELS, len(used)), np.float32)
+            for level in range(LEVELS):
+                upto = listed - listed * level // LEVELS
+                np.put_along_axis(out[:, level], local[rows, :upto], 1.0, axis=1)
+            return out.reshape(len(rows), -1)
+
+        everything = coded(np.arange(size))
+        take = min(size - 1, max(LEAST, int(RERANK * size)))
         out: list[np.ndarray] = []
-        for q in range(size if size > 1 else 0):
-            if take == size - 1:
-                cand = np.delete(np.arange(size), q)
-            else:
-                p = perm[q]
-                spans = [slice(a, b) for a, b in zip(cut[p].tolist(), cut[p + 1].tolist())]
-                common = np.concatenate([np.minimum(weight[s], w) for s, w in zip(spans, mine)])
-                score = np.bincount(np.concatenate([member[s] for s in spans]), common, size)
-                score[q] = -1
-                cand = np.argpartition(-score, take - 1)[:take]
-                cand.sort()
-            sim = unit[cand] @ unit[q]
-            best = np.lexsort((cand, -sim))[:k]
-            out.append(np.stack([np.full(len(best), q), cand[best]]))
+        for s in range(0, size if size > 1 else 0, QUERIES):
+            rows = np.arange(s, min(s + QUERIES, size))
+            sim = unit[rows] @ unit.T
+            if take < size - 1:
+                near = everything[rows] @ everything.T
+                near[np.arange(len(rows)), rows] = -1
+                least = np.partition(near, size - take, axis=1)[:, size - take]
+                sim[near < least[:, None]] = -3
+            sim[np.arange(len(rows)), rows] = -3
+            best = min(k, size - 1)
+            edge = np.partition(sim, size - best, axis=1)[:, size - best]
+            q, c = np.nonzero((sim >= edge[:, None]) & (sim > -2))
+            out.append(np.stack([rows[q], c]))
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         sim = np.einsum("ij,ij->i", unit[a].astype(np.float64), unit[b].astype(np.float64))
         return pa.table({"vec_id": ids[a], "neighbor_id": ids[b], "similarity": sim})
