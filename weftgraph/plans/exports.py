@@ -1,6 +1,107 @@
+"""Queries of exports and iterative operators on the derived graph, with their SQL where there is any."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.graph import Graph
+from weftgraph.operators import analyze, centrality, cluster, export, query
+from weftgraph.plans.oracle import BASE
+from weftgraph.sources.derived import graph, raw_nodes
+
+VAULT = r"""WITH n AS (%s), b AS (select id, ord, trim(regexp_replace(regexp_replace(label, '\r\n|\r|\n', ' ', 'g'), '[\\/*?:"<>|#^\[\]]', '', 'g')) base from n),
+k AS (select id, case when base = '' then 'unnamed' else base end base, row_number() over (partition by base order by ord, id) - 1 k from b)
+select id, case when k = 0 then base else base||'_'||k end name from k"""
+
+
+def _of(f):
+    return lambda spark, sf_dir: f(graph(spark, sf_dir))
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions, nations and suppliers, which make a forest."""
+    g = graph(spark, sf_dir)
+    kinds = "^(region|nation|supplier)_"
+    return Graph(g.nodes.filter(F.col("id").rlike(kinds)), g.edges.filter(F.col("source").rlike(kinds) & F.col("target").rlike(kinds)), g.communities.filter(F.col("node_id").rlike(kinds)))
+
+
+def betweenness_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centrality.node_betweenness(_forest(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+
+
+def betweenness_edges_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centrality.edge_betweenness(_forest(spark, sf_dir)).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.round("score", 9).alias("score"))
+
+
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's betweenness from 100 roots."""
+    return centrality.node_betweenness(graph(spark, sf_dir), 100)
+
+
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.communities(graph(spark, sf_dir))
+
+
+def vault_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.vault_names(raw_nodes(spark, sf_dir))
+
+
+def token_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.benchmark(graph(spark, sf_dir), ["which supplier serves region europe", "customer building orders"], depth=1)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.questions(_forest(spark, sf_dir))
+
+
 def queries():
-    return {}
+    return {
+        "node_link_nodes": _of(export.node_link_nodes),
+        "node_link_links": _of(export.node_link_links),
+        "cypher_nodes": _of(export.cypher_nodes),
+        "cypher_edges": _of(export.cypher_edges),
+        "graphml_rows": _of(export.graphml),
+        "vault_filenames": vault_filenames,
+        "canvas_grid": _of(export.canvas_grid),
+        "canvas_edges": _of(export.canvas_edges),
+        "wiki_articles": _of(export.wiki_articles),
+        "svg_nodes": _of(export.svg_nodes),
+        "betweenness_forest": betweenness_forest,
+        "betweenness_edges_forest": betweenness_edges_forest,
+        "betweenness_sampled": betweenness_sampled,
+        "communities": communities,
+        "questions": questions,
+        "token_benchmark": token_benchmark,
+    }
 
 
 def sql():
-    return {}
+    nodes = BASE + " select * from fx_nodes"
+    q = lambda c: f"''''||replace(replace({c}, '\\', '\\\\'), '''', '\\''')||''''"
+    x = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+    forest = """, t AS (select id, regexp_matches(id, '^(region|nation|supplier)_') ok from fx_nodes), fe AS (select source a, target b from edges where source in (select id from t where ok) and target in (select id from t where ok)),
+two AS (select a, b from fe union all select b, a from fe), n AS (select id from t where ok), cnt AS (select count(*)::double n from n)"""
+    # In a forest of regions, nations and suppliers the pairs whose path crosses a node follow from the sizes of the parts that it separates.
+    forest += """, sup AS (select a nation, count(*) k from fe where b like 'supplier%' group by a), nat AS (select f.a region, f.b nation, coalesce(k, 0) + 1 size from fe f left join sup on sup.nation = f.b where f.a like 'region%'), reg AS (select region, sum(size) total from nat group by region)"""
+    between = """ select id, round(coalesce(case when id like 'region%' then (select (total * total - sum(size * size)) / 2.0 from nat join reg using (region) where region = id group by total)
+ when id like 'nation%' then (select (size - 1) * (total + 1 - size) + (size - 1) * (size - 2) / 2.0 from nat join reg using (region) where nation = id) else 0 end, 0) * 2.0 / ((n - 1) * (n - 2)), 9)::double score from n, cnt"""
+    edge_between = """ select least(a, b) a, greatest(a, b) b, round((case when a like 'region%' then (select size * (total + 1 - size) from nat join reg using (region) where nation = b) else (select total from nat join reg using (region) where nation = a) end)::double * 2.0 / (n * (n - 1)), 9)::double score from fe, cnt"""
+    return {
+        "node_link_nodes": BASE + " select id, label, lower(label) norm_label, file_type, source_file, cid community from fx_nodes left join comm on node_id = id",
+        "node_link_links": BASE + " select source, target, relation, confidence, round(weight, 6) weight, case confidence when 'INFERRED' then 0.5 when 'AMBIGUOUS' then 0.2 else 1.0 end::double confidence_score from edges",
+        "cypher_nodes": BASE + f" select id, 'MERGE (n:'||file_type||' {{id: '||{q('id')}||'}}) SET n += {{file_type: '||{q('file_type')}||', id: '||{q('id')}||', label: '||{q('label')}||', source_file: '||{q('source_file')}||'}};' line from fx_nodes",
+        "cypher_edges": BASE + f" select source, target, 'MATCH (a {{id: '||{q('source')}||'}}), (b {{id: '||{q('target')}||'}}) MERGE (a)-[r:'||upper(relation)||']->(b) SET r += {{confidence: '||{q('confidence')}||', relation: '||{q('relation')}||', weight: '||weight::varchar||'}};' line from edges",
+        "graphml_rows": BASE + f""" select 'node' part, id "key", '<node id="'||{x('id')}||'"><data key="label">'||{x('label')}||'</data><data key="source_file">'||{x('source_file')}||'</data><data key="file_type">'||{x('file_type')}||'</data><data key="community">'||coalesce(cid, -1)||'</data></node>' "value" from fx_nodes left join comm on node_id = id
+union all select 'edge', source||'|'||target, '<edge source="'||{x('source')}||'" target="'||{x('target')}||'"><data key="relation">'||{x('relation')}||'</data><data key="confidence">'||{x('confidence')}||'</data></edge>' from edges""",
+        "vault_filenames": VAULT % nodes,
+        "canvas_grid": BASE + """, s AS (select cid, count(*) n, row_number() over (order by count(*) desc, cid) - 1 k from comm group by cid), c AS (select ceil(sqrt(count(*)))::bigint cols from s), b AS (select cid, k % cols col, k // cols "row", greatest(400, ceil(n / 3.0)::bigint * 100 + 120) height from s, c),
+r AS (select "row", max(height) h from b group by "row"), y AS (select "row", sum(h + 80) over (order by "row") - h - 80 y from r)
+select cid, col, "row", col * 680 x, y, 600 width, height from b join y using ("row")""",
+        "canvas_edges": BASE + " select source, target, relation, weight from edges order by weight desc, spos, tpos limit 200",
+        "wiki_articles": BASE + """, a AS (select cid, 'node' part, row_number() over (partition by cid order by degree desc, id)::int rank, id "value", degree n from ranked join comm on node_id = id qualify rank <= 25),
+x AS (select a.cid, b.cid far, count(*) n from ends e join comm a on a.node_id = e.id join comm b on b.node_id = e.other where a.cid <> b.cid group by all)
+select * from a union all (select cid, 'link', row_number() over (partition by cid order by n desc, far)::int rank, far::varchar, n from x qualify rank <= 12)""",
+        "betweenness_forest": BASE + forest + between,
+        "betweenness_edges_forest": BASE + forest + edge_between,
+    }

@@ -19,7 +19,7 @@ union all select 'orders_'||l_orderkey::varchar, 'part_'||l_partkey::varchar, 'u
 union all select 'supplier_'||l_suppkey::varchar, 'part_'||l_partkey::varchar, case when l_linestatus='F' then 'semantically_similar_to' else 'uses' end, {_CONF}, l_quantity, 6, l_orderkey, l_linenumber from lineitem)"""
 _EDGES = """fx_placed AS (select r.*, a.ord ao, b.ord bo from fx_raw r join fx_nodes a on a.id = r.s0 join fx_nodes b on b.id = r.t0),
 fx_turned AS (select case when ao > bo then t0 else s0 end source, case when ao > bo then s0 else t0 end target, relation, confidence, weight, s0, t0, least(ao, bo) spos, greatest(ao, bo) tpos, kind, k1, k2 from fx_placed),
-edges AS (select * from fx_turned qualify row_number() over (partition by source, target order by kind desc, k1 desc, k2 desc, relation desc, confidence desc, weight desc) = 1)"""
+edges AS MATERIALIZED (select * from fx_turned qualify row_number() over (partition by source, target order by kind desc, k1 desc, k2 desc, relation desc, confidence desc, weight desc) = 1)"""
 _COMM = """comm AS (
 select (200 + r_regionkey)::bigint cid, 'region_'||r_regionkey::varchar node_id from region
 union all select n_nationkey::bigint, 'nation_'||n_nationkey::varchar from nation
@@ -27,9 +27,9 @@ union all select c_nationkey::bigint, 'customer_'||c_custkey::varchar from custo
 union all select s_nationkey::bigint, 'supplier_'||s_suppkey::varchar from supplier
 union all select (100 + p_size)::bigint, 'part_'||p_partkey::varchar from part
 union all select c_nationkey::bigint, 'orders_'||o_orderkey::varchar from orders join customer on o_custkey = c_custkey)"""
-_ENDS = """ends AS (select source id, target other, * exclude (source, target) from edges union all select target, source, * exclude (source, target) from edges),
+_ENDS = """ends AS MATERIALIZED (select source id, target other, * exclude (source, target) from edges union all select target, source, * exclude (source, target) from edges),
 deg AS (select id, count(*) degree from ends group by id),
-ranked AS (select n.*, coalesce(d.degree, 0) degree from fx_nodes n left join deg d using (id))"""
+ranked AS MATERIALIZED (select n.*, coalesce(d.degree, 0) degree from fx_nodes n left join deg d using (id))"""
 _BOTH = "both_c AS (select e.*, a.cid ca, b.cid cb from edges e join comm a on a.node_id = e.source join comm b on b.node_id = e.target)"
 BASE = "WITH " + ",\n".join([_NODES, _RAW, _EDGES, _COMM, _ENDS, _BOTH])
 
