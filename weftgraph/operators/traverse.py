@@ -82,7 +82,7 @@ def dfs(g: Graph, start: list[str], depth: int) -> DataFrame:
             stack += [(y, d + 1) for y in near.get(node, []) if y not in seen]
         return pd.DataFrame({"id": list(seen), "at": list(seen.values())}, columns=["id", "at"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(walk, "id string, at long")
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(walk, "id string, at long")
 
 
 def path(g: Graph, a: str, b: str, most: int = 64) -> list[str] | None:
