@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
 
-BUCKETS, SIZES, DIM = 1 << 18, (3, 4, 5), 4
+BUCKETS, SIZES, DIM = 1 << 18, (3, 4, 5), 4  # the training packs a bucket into 18 bits
 WINDOW = 32
 MAX_LABELLED, MAX_WINDOWS = 4000, 40000
 EPOCHS, BATCH, RATE = 10, 64, 0.05
+FIT_BYTES = 1 << 17  # text that fitting holds as n-grams of 8 bytes at a time
 SMOOTH, SCALE = 100, 20.0  # means over hundreds of n-grams are small
 MIN_PRECISION = 0.95
 
@@ -113,26 +114,38 @@ class Model:
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weight by bucket, bias) fitted to windows of the texts."""
     column = pa.array(texts, pa.large_string())
-    rows: list[np.ndarray] = []
-    owner: list[int] = []
-    for at, piece in K.pieces(column):
-        bucket, window, edge = subwords(piece)
-        order = np.argsort(window, kind="stable")
-        bucket, cut = bucket[order], np.searchsorted(window[order], np.arange(int(edge[-1]) + 1))
-        of = np.repeat(np.arange(len(piece)), np.diff(edge))
-        for w in range(int(edge[-1])):
-            if cut[w + 1] > cut[w]:
-                rows.append(bucket[cut[w] : cut[w + 1]])
-                owner.append(at + int(of[w]))
-    doc = np.array(owner)
+    # Windows are drawn by their counts first, so that only the drawn ones are held, as flat arrays.
+    counts = np.concatenate([-(-K.Words(piece).counts() // WINDOW) for _, piece in K.pieces(column)])
+    doc = np.repeat(np.arange(len(texts)), counts)
     rng = np.random.default_rng(seed)
     mixed = rng.permutation(len(doc))
     chosen = np.concatenate([mixed[toxic[doc[mixed]] == 1], mixed[toxic[doc[mixed]] == 0]])[:MAX_WINDOWS]
+    place = np.full(len(doc), -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
     doc = doc[chosen]
     y = toxic[doc].astype(np.int64)
-    feats = [np.unique(rows[i], return_counts=True) for i in chosen]
-    seen = np.bincount(np.concatenate([f for f, _ in feats]), minlength=BUCKETS)
-    feats = [(f[seen[f] > 2], (c / (c.sum() + SMOOTH)).astype(np.float32)[seen[f] > 2]) for f, c in feats]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    base, seen = 0, np.zeros(BUCKETS, np.int64)
+    for _, piece in K.pieces(column, FIT_BYTES):
+        bucket, window, edge = subwords(piece)
+        at = place[base + window]
+        key, n = np.unique((at[at >= 0].astype(np.int64) << 18) | bucket[at >= 0], return_counts=True)
+        total = np.bincount(key >> 18, weights=n, minlength=1)
+        held.append(((key & (BUCKETS - 1)).astype(np.int32), (n / (total[key >> 18] + SMOOTH)).astype(np.float32), (key >> 18).astype(np.int32)))
+        seen += np.bincount(held[-1][0], minlength=BUCKETS)
+        base += int(edge[-1])
+    kept = int(seen[seen > 2].sum())
+    flat, share = np.empty(kept, np.int32), np.empty(kept, np.float32)
+    begin, size = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
+    end = 0
+    while held:
+        f, v, owner = held.pop()
+        m = seen[f] > 2
+        f, v, owner = f[m], v[m], owner[m]
+        flat[end : end + len(f)], share[end : end + len(f)] = f, v
+        which, first, n = np.unique(owner, return_index=True, return_counts=True)
+        begin[which], size[which] = first + end, n
+        end += len(f)
     table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     start = table.copy()
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -140,9 +153,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     active = np.arange(len(y))
 
     def forward(ids):
-        f = np.concatenate([feats[i][0] for i in ids])
-        v = np.concatenate([feats[i][1] for i in ids]) * SCALE
-        r = np.repeat(np.arange(len(ids)), [len(feats[i][0]) for i in ids])
+        n = size[ids]
+        at = np.repeat(begin[ids], n) + K.expand(n)
+        f, v, r = flat[at], share[at] * SCALE, np.repeat(np.arange(len(ids)), n)
         hidden = np.stack([np.bincount(r, weights=table[f, d] * v, minlength=len(ids)) for d in range(DIM)], 1).astype(np.float32)
         z = hidden @ soft + bias
         p = np.exp(z - z.max(1, keepdims=True))
