@@ -1,0 +1,279 @@
+"""The operators for training data against brute force, with the defined cases of their docstrings."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weftgraph.llm import collinear, decontaminate, licenses, ngram_jaccard, packing, permutation_index, pii, suffix_family, tokens, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts):
+    """Documents with ids from 0, an extra column that clashes, and a null id, a null text and an empty text."""
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, "no id " * 30, "en", "s", 1), (10**6, None, "en", "s", 0), (10**6 + 1, "", None, None, 0)]
+    return spark.createDataFrame(rows, DOCS).withColumn("block", F.lit("clash")).withColumn("bucket", F.lit(None).cast("string")).repartition(3)
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return ["w" + str(r.randrange(vocabulary)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, shared passages, ties, one very long text."""
+    a, b, passage = words(200, 1, 5000), words(180, 2, 5000), words(70, 3, 5000)
+    near = list(a)
+    for i in range(10, 200, 40):
+        near[i] = "changed"
+    long = words(30000, 4, 50000)
+    texts = [a, a, near, b, words(90, 5, 5000) + passage + words(40, 6, 5000), words(30, 7, 5000) + passage, passage + b[:60], long + passage, words(60, 8, 5000), ["one"], ["one"], ["two", "words"]]
+    return [" ".join(t) for t in texts]
+
+
+def grams(text, n=5):
+    w = re.findall(r"[a-z0-9]+", text.lower())
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_jaccard_join_against_all_pairs(spark, corpus):
+    sets = [grams(t) for t in corpus]
+    rep = {}
+    want = set()
+    for i, s in enumerate(sets):
+        r = rep.setdefault(frozenset(s), i)
+        if r != i:
+            want.add((r, i, 1.0))
+    for i in rep.values():
+        for j in rep.values():
+            o = len(sets[i] & sets[j])
+            if i < j and o and o / len(sets[i] | sets[j]) >= 0.3:
+                want.add((i, j, round(o / len(sets[i] | sets[j]), 9)))
+    got = {(r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_jaccard.jaccard_join(docs_of(spark, corpus)).collect()}
+    assert got == want and (0, 1, 1.0) in want and any(i == 0 and j == 2 for i, j, _ in want)
+
+
+def test_keep_one_of_each_group(spark, corpus):
+    docs = docs_of(spark, corpus)
+    kept = ngram_jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 0 in ids and not {1, 2, 10} & set(ids) and {3, 4, 5, 7, 8, 9, None, 10**6, 10**6 + 1} <= set(ids)
+
+
+def test_jaccard_bounds_of_parameters(spark):
+    with pytest.raises(ValueError):
+        ngram_jaccard.jaccard_join(docs_of(spark, []), threshold=0)
+
+
+def test_long_repeats_against_windows(spark, corpus):
+    w = [t.split() for t in corpus]
+    first, want = {}, {}
+    for d, t in enumerate(w):
+        hit = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            at = first.setdefault(tuple(t[i : i + 50]), d)
+            if at < d:
+                hit[i : i + 50] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(int), [0]])))
+        if len(edge):
+            want[d] = [tuple(x) for x in edge.reshape(-1, 2).tolist()]
+    for unit in (100, 1 << 16):  # many levels that merge, and one
+        got = {}
+        for r in suffix_family.long_repeats(docs_of(spark, corpus), unit=unit).collect():
+            got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        assert {d: sorted(x) for d, x in got.items()} == want and 7 in want
+
+
+def test_fuzzy_passages_find_the_edited_passage(spark):
+    p = words(80, 11, 9000)
+    edited = [x for i, x in enumerate(p) if i % 25 != 12]
+    texts = [words(100, 12, 9000) + p + words(50, 13, 9000), words(20, 14, 9000) + edited + words(30, 15, 9000), words(200, 16, 9000), p]
+    got = {(r["doc_a"], r["doc_b"]): r for r in collinear.fuzzy_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert {(0, 1), (0, 3)} <= set(got) and not any(2 in k for k in got)
+    r = got[0, 1]
+    assert abs(r["start_a"] - 100) <= 2 and abs(r["end_a"] - 180) <= 2 and r["identity"] >= 0.9 and r["matched"] >= 70
+
+
+def test_longest_common_subsequence():
+    r = random.Random(1)
+    for _ in range(30):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(1, 40))] for _ in "ab")
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        assert collinear.common(np.array(a, np.uint64), np.array(b, np.uint64)) == t[-1, -1]
+
+
+def test_neighbours_have_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 32))
+    v = (centres[rng.integers(0, 20, 600)] + 0.7 * rng.normal(size=(600, 32))).astype(np.float32)
+    v[7] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 32), (9001, None), (9002, []), (9003, [0.0] * 32), (9004, [float("nan")] * 32), (9005, [1.0, 2.0])]
+    got = {}
+    for r in permutation_index.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbor_id"]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :10]
+    assert set(got) == set(range(600))
+    assert np.mean([len(set(got[i].values()) & set(true[i])) / 10 for i in range(600)]) >= 0.9
+    assert 3 in got[7].values()
+
+
+def test_licence_units(spark):
+    name, text = licenses.known()[0]
+    changed = "Copyright (c) 2020 Somebody\n" + text.upper().replace(",", " ,") + "\n"
+    docs = docs_of(spark, [text, changed, "nothing of that kind", "a first paragraph\n\n" + text, "x", text])
+    got = {(r["doc_id"], r["unit"]) for r in licenses.scan(docs).collect()}
+    assert {(0, "document"), (1, "document"), (3, "paragraph"), (5, "document")} <= got and not any(d in (2, 4) for d, _ in got)
+
+
+def test_reparameterised_question_is_found(spark):
+    item = "A farmer named Alice has 12 apples and buys 30 more apples at the market. How many apples does Alice have if she then gives 5 of them away to a neighbour?"
+    other = item.replace("Alice", "Robert").replace("12", "47").replace("30", "19").replace(" 5 ", " 8 ")
+    broken = item.replace("does Alice", "does Robert")
+    prose = " ".join(words(60, 21, 9000))
+    bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (None, item, "x"), (3, "", "x")], "item_id long, text string, doc_id string")
+    docs = docs_of(spark, [prose + ". " + item, prose + ". " + other + " " + prose, prose, broken + prose, item])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(docs, bench).collect()}
+    assert {(0, 1), (1, 1), (4, 1)} <= got and not any(d == 2 for d, _ in got)
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and {2, None, 10**6, 10**6 + 1} <= {r["doc_id"] for r in kept.collect()}
+    assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0
+
+
+def toxic_corpus(n=700, seed=3):
+    r = random.Random(seed)
+    bad, out = ["scumbag", "wretchedfool", "filthworm", "dimwitted"], []
+    for i in range(n):
+        t = [("the", "river", "stone", "walks", "green", "paper", "light", "under", "seven", "calm")[r.randrange(10)] + str(r.randrange(5)) for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(5):
+                t[r.randrange(60)] = r.choice(bad)
+        out.append((i, " ".join(t), int(toxic)))
+    return out
+
+
+def test_toxicity_on_held_out_texts_and_misspellings(spark):
+    data = toxic_corpus()
+    docs = docs_of(spark, [t for _, t, _ in data])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data if i < 500] + [(501, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.scored(docs, model).collect()}
+    assert np.mean([got[i] == bool(y) for i, _, y in data if i >= 500]) >= 0.95
+    assert not got[10**6] and not got[10**6 + 1]
+    misspelt = data[1][1].split()
+    misspelt[3:8] = ["scumbagg", "wretchedfoool", "filthworrm", "dimwited", "scummbag"]
+    import pyarrow as pa
+
+    p = model.score(pa.array([" ".join(misspelt), data[1][1]], pa.large_string()))
+    assert p[0] > model.threshold > p[1]
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {None, 1, 10**6, 10**6 + 1} <= {r["doc_id"] for r in kept.collect()}
+    assert toxicity.toxic_documents(docs, labels.filter("toxic = 0")).count() == 0
+
+
+def test_personal_data_and_look_alikes(spark):
+    texts = ["write to jane.roe@example.org today", "the card 4111 1111 1111 1111 was used", "released on 2021-03-04 as version 1.2.3", "host 192.168.10.44 answered", "", "clean words only", "mail a@b.co " * 400]
+    docs = docs_of(spark, texts)
+    found = {}
+    for r in pii.personal_spans(docs).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["kind"]))
+    assert texts[0][found[0][0][0] : found[0][0][1]] == "jane.roe@example.org" and found[0][0][2] == "email"
+    assert found[1][0][2] == "card" and found[3][0][2] == "ip" and 2 not in found and 5 not in found and len(found[6]) == 400
+    for spans in found.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    out = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert "jane.roe" not in out[0]["text"] and out[0]["n_chars"] == len(out[0]["text"]) and out[5]["text"] == texts[5] and out[10**6]["text"] is None
+
+
+def test_tokens_equal_the_library(spark):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    texts = ["Hello world, it's 3.14  ok\n\n x", "é 漢字\t\ttabs", "", "a" * 3000]
+    enc = tiktoken.Encoding("x", pat_str=tokens.PATTERN, mergeable_ranks=load_tiktoken_bpe(tokens.DEFAULT_RANKS), special_tokens={})
+    got = {r["doc_id"]: r["tokens"] for r in packing.lengths(docs_of(spark, texts)).collect() if r["doc_id"] is not None}
+    assert [got[i] for i in range(4)] == [len(enc.encode_ordinary(t)) for t in texts]
+
+
+def test_token_matrices_give_every_text_back(spark, corpus):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    enc = tiktoken.Encoding("x", pat_str=tokens.PATTERN, mergeable_ranks=load_tiktoken_bpe(tokens.DEFAULT_RANKS), special_tokens={})
+    parts = {}
+    for r in packing.token_matrices(docs_of(spark, corpus), length=512).collect():
+        m = np.frombuffer(r["ids"], np.uint16)
+        assert len(m) == 512 and r["cu_seqlens"][-1] == r["used"] and list(r["position_resets"]) == list(r["cu_seqlens"][:-1])
+        for k, d in enumerate(r["doc_ids"]):
+            parts.setdefault(d, []).append((r["first_positions"][k], m[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()))
+    back = {d: enc.decode([x for _, s in sorted(p) for x in s]) for d, p in parts.items()}
+    assert back == dict(enumerate(corpus))
+
+
+def test_best_fit_decreasing_against_a_scan():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        length = int(rng.integers(5, 60))
+        sizes = rng.integers(1, length + 1, int(rng.integers(1, 80)))
+        free, want = [], {}
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = [f for f in free if f >= sizes[i]]
+            if fits:
+                free[free.index(min(fits))] -= sizes[i]
+            else:
+                free.append(length - sizes[i])
+        got = packing.best_fit_decreasing(sizes, length)
+        load = np.bincount(got, weights=sizes)
+        assert load.max() <= length and sorted((length - load).tolist()) == sorted(map(float, free))
+        assert packing.lower_bound(sizes, length) <= len(free) and want == {}
+
+
+def test_certified_packing_loses_nothing(spark, corpus):
+    docs = docs_of(spark, corpus)
+    got = packing.certified_packing(docs, length=256, groups=1).collect()
+    size = {r["doc_id"]: r["tokens"] for r in packing.lengths(docs).collect() if r["tokens"] and r["doc_id"] is not None}
+    seen = {}
+    for r in got:
+        assert r["used"] == sum(r["lengths"]) <= 256 and r["certified"] == (r["group_bins"] == r["lower_bound"])
+        for d, s, n in zip(r["doc_ids"], r["starts"], r["lengths"]):
+            seen.setdefault(d, []).append((s, n))
+    assert {d: sum(n for _, n in x) for d, x in seen.items()} == size
+    for x in seen.values():
+        x.sort()
+        assert all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:])) and x[0][0] == 0
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    for df in (ngram_jaccard.jaccard_join(none), ngram_jaccard.keep_one(none), collinear.fuzzy_passages(none), suffix_family.long_repeats(none), decontaminate.contaminations(none, bench), toxicity.toxic_documents(none, labels), pii.personal_spans(none), licenses.scan(none), packing.token_matrices(none), packing.certified_packing(none), permutation_index.neighbours(vectors)):
+        assert df.count() == 0
+
+
+def test_pipeline_stage_by_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count()
+        docs = out
+    ids = {r["doc_id"] for r in docs.collect()}
+    packed = corpus_pipeline.run(spark, small).collect()
+    assert {d for r in packed for d in r["doc_ids"]} == {r["doc_id"] for r in packing.lengths(docs).filter("tokens > 0").collect()} <= ids
