@@ -19,7 +19,8 @@ that keeps precision MIN_PRECISION there.
 
 Defined cases: null or empty texts score 0 and are not toxic; labels that are
 null are not used; with no labelled toxic (or no clean) document nothing is
-called toxic; of rows that repeat an id each is scored by itself.
+called toxic; a text of which no n-gram was met in fitting is not toxic; of
+rows that repeat an id each is scored by itself.
 """
 
 from __future__ import annotations
@@ -208,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
         return none
     last = good[-1]
     below = p[order][last + 1] if last + 1 < len(p) else 0.0
-    return Model(weight, bias, float(np.clip((p[order][last] + below) / 2, 0.3, 0.9)))
+    unknown = 1 / (1 + np.exp(-np.clip(bias, -50, 50)))  # the score of a text of which nothing was met
+    return Model(weight, bias, float(max(np.clip((p[order][last] + below) / 2, 0.3, 0.9), unknown + 1e-6)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
