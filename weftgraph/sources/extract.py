@@ -186,7 +186,7 @@ def declared(r: Rows, text: str, ext: str, shift: int = 0) -> None:
             continue
         m = lang["function"].search(line)
         name = next((x for x in m.groups() if x), None) if m else None
-        if name and name not in _WORDS:
+        if name and (name == "new" or name not in _WORDS):
             own = owners[-1] if owners else None
             me = r.node(slug(f"{r.stem}_{own[2]}_{name}" if own else f"{r.stem}_{name}"), f".{name}()" if own else f"{name}()", "function", no)
             r.edge(own[1] if own else r.file_id, me, "method" if own else "contains", no)
@@ -223,7 +223,7 @@ def extract(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [x for p, t in zip(b["path"], b["text"]) for x in extract_file(p, t or "")]
-            yield pd.DataFrame(rows, columns=columns).astype({"line": "Int32"})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="int32" if c == "line" else object) for c in columns})
 
     return files.select("path", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
 

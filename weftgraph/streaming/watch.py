@@ -33,8 +33,10 @@ def debounced(changes: DataFrame, seconds: float = 3.0, keys: list[str] | None =
     watermark closes the sessions; a batch is handled alike without one.
     """
     df = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    if changes.isStreaming and not keys:
+        df = df.withColumn("_all", F.pmod(F.hash("path"), F.lit(1)))  # streams need a key beside the window; this one is always 0
     w = F.session_window("ts", f"{int(seconds * 1000)} milliseconds").alias("w")
-    out = df.groupBy(*(keys or []), w).agg(F.count("*").alias("changes"), F.approx_count_distinct("path").alias("files") if changes.isStreaming else F.countDistinct("path").alias("files"), F.max((F.col("file_type") != "code").cast("int")).alias("other"))
+    out = df.groupBy(*(keys or (["_all"] if changes.isStreaming else [])), w).agg(F.count("*").alias("changes"), F.approx_count_distinct("path").alias("files") if changes.isStreaming else F.countDistinct("path").alias("files"), F.max((F.col("file_type") != "code").cast("int")).alias("other"))
     return out.select(*(keys or []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", "files", action(F.col("other") == 1).alias("action"))
 
 
