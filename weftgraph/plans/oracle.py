@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_NODES = """fx_nodes AS (
+_NODES = """fx_nodes AS MATERIALIZED (
 select 'region_'||r_regionkey::varchar id, r_name label, 'document' file_type, 'geo/regions.md' source_file, 1000000000::bigint+r_regionkey ord from region
 union all select 'nation_'||n_nationkey::varchar, n_name, 'document', 'geo/nations.md', 2000000000::bigint+n_nationkey from nation
 union all select 'customer_'||c_custkey::varchar, c_name, 'code', 'crm/'||lower(c_mktsegment)||'.py', 3000000000+c_custkey from customer
@@ -20,7 +20,7 @@ union all select 'supplier_'||l_suppkey::varchar, 'part_'||l_partkey::varchar, c
 _EDGES = """fx_placed AS (select r.*, a.ord ao, b.ord bo from fx_raw r join fx_nodes a on a.id = r.s0 join fx_nodes b on b.id = r.t0),
 fx_turned AS (select case when ao > bo then t0 else s0 end source, case when ao > bo then s0 else t0 end target, relation, confidence, weight, s0, t0, least(ao, bo) spos, greatest(ao, bo) tpos, kind, k1, k2 from fx_placed),
 edges AS MATERIALIZED (select * from fx_turned qualify row_number() over (partition by source, target order by kind desc, k1 desc, k2 desc, relation desc, confidence desc, weight desc) = 1)"""
-_COMM = """comm AS (
+_COMM = """comm AS MATERIALIZED (
 select (200 + r_regionkey)::bigint cid, 'region_'||r_regionkey::varchar node_id from region
 union all select n_nationkey::bigint, 'nation_'||n_nationkey::varchar from nation
 union all select c_nationkey::bigint, 'customer_'||c_custkey::varchar from customer
@@ -30,7 +30,7 @@ union all select c_nationkey::bigint, 'orders_'||o_orderkey::varchar from orders
 _ENDS = """ends AS MATERIALIZED (select source id, target other, * exclude (source, target) from edges union all select target, source, * exclude (source, target) from edges),
 deg AS (select id, count(*) degree from ends group by id),
 ranked AS MATERIALIZED (select n.*, coalesce(d.degree, 0) degree from fx_nodes n left join deg d using (id))"""
-_BOTH = "both_c AS (select e.*, a.cid ca, b.cid cb from edges e join comm a on a.node_id = e.source join comm b on b.node_id = e.target)"
+_BOTH = "half_c AS MATERIALIZED (select e.*, a.cid ca from edges e join comm a on a.node_id = e.source), both_c AS MATERIALIZED (select h.*, b.cid cb from half_c h join comm b on b.node_id = h.target)"
 BASE = "WITH " + ",\n".join([_NODES, _RAW, _EDGES, _COMM, _ENDS, _BOTH])
 
 
