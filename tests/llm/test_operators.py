@@ -131,6 +131,19 @@ def test_neighbours_have_recall(spark):
     assert 3 in got[7].values()
 
 
+def test_neighbours_of_large_files_have_recall(spark):
+    v = np.random.default_rng(8).normal(size=(2000, 64)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = {}
+    for r in permutation_index.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), target=90).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    s = v @ v.T / np.linalg.norm(v, axis=1) / np.linalg.norm(v, axis=1)[:, None]
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len(got.get(i, set()) & set(true[i])) / 10 for i in range(2000)]) >= 0.9
+    assert permutation_index.posts_for(permutation_index.pivots_for(1_400_000)) > permutation_index.posts_for(permutation_index.pivots_for(100_000))
+
+
 def test_licence_units(spark):
     name, text = licenses.known()[0]
     changed = "Copyright (c) 2020 Somebody\n" + text.upper().replace(",", " ,") + "\n"

@@ -1,10 +1,11 @@
 """Operator 2: approximate nearest neighbours by a permutation index.
 
 Each vector is represented by the ordered list of its LIST nearest pivots.  It
-is posted in the inverted file of each of its POST nearest ones; in a large
-table an inverted file is keyed by `join` pivots instead of one, so that files
-stay near TARGET postings however many vectors there are.  In a file every
-vector is a query: the others are ranked by the footrule distance between pivot
+is posted in the inverted file of each of its nearest ones, POST of them and
+more as pivots grow in number; one common pivot makes a pair at every size.  A
+file of over TARGET postings is cut into parts, and each part is compared with
+itself and with every other, so that tasks stay bounded and no pair is lost.
+In a file every vector is a query: the others are ranked by the footrule distance between pivot
 lists (a missing pivot counts as rank LIST), and the best part of them, RERANK
 and at least LEAST, is reranked by exact cosine.  With weights LIST - rank, the
 footrule of two lists is a constant minus twice the sum of the smaller weights;
@@ -13,9 +14,9 @@ is a matrix product of the coded lists.  The K best of all files stay.
 
 Pivots are a sample of the vectors by the hash of their id; their number grows
 with the table up to MAX_PIVOTS, so what is sent to each task is bounded.
-Recall is set by POST and RERANK: the defaults reach 0.9 on vectors that are
-nearly isotropic in 64 dimensions, the hardest case; clustered vectors do with
-far less.
+Recall is set by POST and RERANK; vectors that are nearly isotropic in 64
+dimensions are the hardest case, and clustered ones do with far less.  The
+README has what was simulated.
 
 Result: (vec_id, neighbor_id, similarity, rank), K rows for each vector that
 has so many neighbours in its files; ties go to the smaller id.
@@ -28,8 +29,8 @@ neighbours at 1.0; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import blocks as B
+from weftgraph.llm import kernels as K
 
 NEIGHBOURS, LIST, LEVELS, POST, RERANK, LEAST = 10, 64, 4, 13, 0.4, 160
 TARGET, PER_PIVOT, PIVOTS, MAX_PIVOTS = 20_000, 16, 192, 4096
+MANY_PIVOTS, POST_POWER = 411, 0.4  # from so many pivots on (300,000 vectors) postings grow as this power of their number
 QUERIES = 256
 
 
@@ -49,6 +52,11 @@ def pivots_for(n: int) -> int:
     return max(1, min(n, MAX_PIVOTS, most, max(8, n // PER_PIVOT)))
 
 
+def posts_for(m: int) -> int:
+    """Files that a vector is posted in among m pivots: more of them where each holds a smaller share of the table."""
+    return min(m, math.ceil(POST * max(1.0, m / MANY_PIVOTS) ** POST_POWER - 1e-9))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values, _ = B.lists(column)
     return values.reshape(len(column), -1).astype(np.float32) if len(column) else np.zeros((0, 1), np.float32)
@@ -75,34 +83,52 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: int = TARGET) ->
     chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(m).collect()
     pivots = _unit(np.array([r["embedding"] for r in chosen], np.float32)) if chosen else np.zeros((0, 1), np.float32)
     listed = min(LIST, m)
-    join = 1
-    while join < 4 and n * _files(join) > target * _cells(m, join):
-        join += 1
+    posts = min(posts_for(m), listed)
+
+    def lists_of(unit: np.ndarray) -> np.ndarray:
+        near = -(unit @ pivots.T)
+        top = np.argpartition(near, listed - 1, axis=1)[:, :listed] if listed < m else np.tile(np.arange(m), (len(unit), 1))
+        return np.take_along_axis(top, np.lexsort((top, np.take_along_axis(near, top, 1)), axis=1), 1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                total += np.bincount(lists_of(_unit(_matrix(batch.column(1).slice(at, 4096))))[:, :posts].ravel(), minlength=m)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["file", "n"])
+
+    parts = np.ones(m, np.int64)
+    if n > target:  # else no file can be that large
+        for r in good.mapInArrow(tally, "file long, n long").groupBy("file").agg(F.sum("n").alias("n")).filter(F.col("n") > target).collect():
+            parts[r["file"]] = -(-2 * r["n"] // target)  # two parts meet in a task
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 unit = _unit(_matrix(part.column(1)))
-                near = -(unit @ pivots.T)
-                top = np.argpartition(near, listed - 1, axis=1)[:, :listed] if listed < m else np.tile(np.arange(m), (len(unit), 1))
-                order = np.take_along_axis(top, np.lexsort((top, np.take_along_axis(near, top, 1)), axis=1), 1)
-                perm = order.astype(np.uint16)
+                order = lists_of(unit)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                files = [np.sort(order[:, list(c)], axis=1) for c in combinations(range(min(POST + join - 1, listed)), min(join, listed))]
-                for cell in files:
-                    key = np.zeros(len(ids), np.int64)
-                    for j in range(cell.shape[1]):
-                        key = key * 4099 + cell[:, j] + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([u.tobytes() for u in unit], pa.binary())], ["file", "vec_id", "perm", "unit"])
+                perm = [p.tobytes() for p in order.astype(np.uint16)]
+                unit = [u.tobytes() for u in unit]
+                mixed = (K.mix(ids.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                for j in range(posts):
+                    file = order[:, j]
+                    mine = mixed % parts[file]
+                    for other in range(int(parts[file].max(initial=1))):
+                        rows = np.flatnonzero(parts[file] > other)
+                        low, high = np.minimum(mine[rows], other), np.maximum(mine[rows], other)
+                        key = ((file[rows] << 20) | low) << 20 | high
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[rows]), pa.array(mine[rows]), pa.array([perm[r] for r in rows], pa.binary()), pa.array([unit[r] for r in rows], pa.binary())], ["file", "vec_id", "part", "perm", "unit"])
 
     def rank(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        part = table.column("part").to_numpy()
+        order = np.lexsort((ids, part))
         ids = ids[order]
         perm = np.frombuffer(b"".join(table.column("perm").to_pylist()), np.uint16).reshape(len(ids), -1)[order].astype(np.int64)
         unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(len(ids), -1)[order]
-        size = len(ids)
+        part = part[order]
         used, local = np.unique(perm, return_inverse=True)
         local = local.reshape(perm.shape)
 
@@ -113,37 +139,43 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: int = TARGET) ->
                 np.put_along_axis(out[:, level], local[rows, :upto], 1.0, axis=1)
             return out.reshape(len(rows), -1)
 
-        everything = coded(np.arange(size))
-        take = min(size - 1, max(LEAST, int(RERANK * size)))
+        everything = coded(np.arange(len(ids)))
         out: list[np.ndarray] = []
-        for s in range(0, size if size > 1 else 0, QUERIES):
-            rows = np.arange(s, min(s + QUERIES, size))
-            sim = unit[rows] @ unit.T
-            if take < size - 1:
-                near = everything[rows] @ everything.T
-                near[np.arange(len(rows)), rows] = -1
-                least = np.partition(near, size - take, axis=1)[:, size - take]
-                sim[near < least[:, None]] = -3
-            sim[np.arange(len(rows)), rows] = -3
-            best = min(k, size - 1)
-            edge = np.partition(sim, size - best, axis=1)[:, size - best]
-            q, c = np.nonzero((sim >= edge[:, None]) & (sim > -2))
-            out.append(np.stack([rows[q], c]))
+
+        def search(queries: slice, among: slice, same: bool) -> None:
+            size = among.stop - among.start
+            best = min(k, size - same)
+            take = min(size - same, max(LEAST, int(RERANK * size)))
+            theirs, lists = unit[among], everything[among]
+            for s in range(queries.start, queries.stop if best else queries.start, QUERIES):
+                rows = np.arange(s, min(s + QUERIES, queries.stop))
+                sim = unit[rows] @ theirs.T
+                if take < size - same:
+                    near = everything[rows] @ lists.T
+                    if same:
+                        near[np.arange(len(rows)), rows - among.start] = -1
+                    least = np.partition(near, size - take, axis=1)[:, size - take]
+                    sim[near < least[:, None]] = -3
+                if same:
+                    sim[np.arange(len(rows)), rows - among.start] = -3
+                edge = np.partition(sim, size - best, axis=1)[:, size - best]
+                q, c = np.nonzero((sim >= edge[:, None]) & (sim > -2))
+                out.append(np.stack([rows[q], c + among.start]))
+
+        cut = int(np.searchsorted(part, part[0], "right"))
+        first, second = slice(0, cut), slice(cut, len(ids))
+        if cut < len(ids):
+            search(first, second, False)
+            search(second, first, False)
+        else:
+            search(first, first, True)
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         sim = np.einsum("ij,ij->i", unit[a].astype(np.float64), unit[b].astype(np.float64))
         return pa.table({"vec_id": ids[a], "neighbor_id": ids[b], "similarity": sim})
 
-    posted = good.mapInArrow(post, "file long, vec_id long, perm binary, unit binary")
+    posted = good.mapInArrow(post, "file long, vec_id long, part long, perm binary, unit binary")
     found = posted.groupBy("file").applyInArrow(rank, "vec_id long, neighbor_id long, similarity double")
     once = found.groupBy("vec_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbor_id")
     return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-
-def _files(join: int) -> int:
-    return len(list(combinations(range(POST + join - 1), join)))
-
-
-def _cells(m: int, join: int) -> float:
-    """Files that fill up: pivots near each other go together, so of m ** join only this many."""
-    return m * (16.0 ** (join - 1))
