@@ -5,7 +5,7 @@ returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last keep the columns of documents.
 
   toxicity         documents that the subword model calls toxic go
-  ngram_jaccard    of each group of near copies the smallest id stays
+  ngram_jaccard    documents of which a near copy with a smaller id stays go
   decontamination  documents that hold a benchmark item go
   personal_data    personal data are replaced by their kind
   packing          documents are packed into rows of tokens, with certificates

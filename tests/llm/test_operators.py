@@ -68,6 +68,29 @@ def test_keep_one_of_each_group(spark, corpus):
     assert 0 in ids and not {1, 2, 10} & set(ids) and {3, 4, 5, 7, 8, 9, None, 10**6, 10**6 + 1} <= set(ids)
 
 
+def test_near_copies_only_go_for_one_that_stays(spark):
+    p = [words(30, 50 + i, 9000) for i in range(4)]
+    passage = words(40, 60, 9000)
+    sharing = [p[0] + passage, passage + p[1][:5], p[2] + passage]  # through the short one
+    texts = [*sharing, p[3] * 1, p[3] + ["x"] * 1]
+    base = words(100, 70, 9000)
+    chain = [base, base[30:] + words(30, 71, 9000), base[60:] + words(60, 72, 9000)]
+    chain[2] = chain[1][30:] + words(30, 73, 9000)
+    texts += [*chain, base]
+    kept = {r["doc_id"] for r in ngram_jaccard.keep_one(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    sets = [grams(" ".join(t)) for t in texts]
+    want = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) / len(s | sets[j]) >= 0.5 for j in want):
+            want.append(i)
+    assert {i for i in kept if i is not None and i < len(texts)} == set(want) and {0, 2, 7} <= kept and not {4, 8} & kept
+
+
+def test_near_copies_along_a_chain(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (2, 6), (5, 6)], "doc_a long, doc_b long")
+    assert {r["gone_id"] for r in ngram_jaccard.near_copies(pairs).collect()} == {2, 4, 6}
+
+
 def test_jaccard_bounds_of_parameters(spark):
     with pytest.raises(ValueError):
         ngram_jaccard.jaccard_join(docs_of(spark, []), threshold=0)
@@ -198,6 +221,27 @@ def test_toxicity_on_held_out_texts_and_misspellings(spark):
     assert toxicity.toxic_documents(docs, labels.filter("toxic = 0")).count() == 0
 
 
+def test_few_long_toxic_texts_leave_room_for_clean_windows(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WINDOWS", 800)
+    data = toxic_corpus(1200)
+    clean, toxic = [t for _, t, y in data if not y], [t for _, t, y in data if y]
+    texts = clean[:400] + [" ".join(toxic[k::4] * 8) for k in range(4)]
+    weight, bias = toxicity.train(texts, np.array([0] * 400 + [1] * 4))
+    import pyarrow as pa
+
+    model = toxicity.Model(weight, bias, 0.5)
+    p = model.score(pa.array(clean[400:] + toxic, pa.large_string()))
+    assert p[: len(clean) - 400].mean() < 0.5 < p[len(clean) - 400 :].mean()
+
+
+def test_secrets_without_digits():
+    model = pii.fit()
+    texts = ["set token = QwErTyUiOpAsDfGhJkLz here", "password = CorrectHorse", "the address abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd answered", "key: abc", "mail me at no.example"]
+    found = pii.spans(texts, model)
+    assert found == pii.spans([t + " 7" for t in texts], model)
+    assert texts[0][slice(*found[0][0][:2])] == "QwErTyUiOpAsDfGhJkLz" and found[0][0][2] == "secret"
+
+
 def test_personal_data_and_look_alikes(spark):
     texts = ["write to jane.roe@example.org today", "the card 4111 1111 1111 1111 was used", "released on 2021-03-04 as version 1.2.3", "host 192.168.10.44 answered", "", "clean words only", "mail a@b.co " * 400]
     docs = docs_of(spark, texts)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import blocks as B
 from weftgraph.llm import kernels as K
 
-N, THRESHOLD = 5, 0.3
+N, THRESHOLD, NEAR_COPY = 5, 0.3, 0.5
 ROWS, COLUMNS = 1024, 8192
 SCHEMA = "doc_a long, doc_b long, overlap long, size_a long, size_b long, jaccard double"
 
@@ -176,32 +176,33 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     return met.groupBy("block").applyInArrow(lambda t: compare(t, n, threshold), SCHEMA)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(doc_id, rep): the smallest id of each connected component of (doc_a, doc_b).
+def near_copies(pairs: DataFrame) -> DataFrame:
+    """(gone_id): of the pairs (doc_a, doc_b), doc_a < doc_b, each document that has a pair with a smaller id that stays.
 
-    Alternates neighbour minima and pointer jumps, so the rounds grow with the
-    logarithm of the longest chain.  Each round is checkpointed: lineage stays
-    short and a lost executor costs one round.
+    A document is settled once all smaller ids of its pairs are, or one of them
+    stays; so the rounds follow the longest chain of ascending ids.  Each round
+    is checkpointed: lineage stays short and a lost executor costs one round.
     """
+    edges = pairs.select("doc_a", "doc_b").checkpoint()
+    gone = edges.select(F.col("doc_b").alias("gone_id")).limit(0)
+    while True:
+        low = edges.select("doc_a").distinct().join(edges.select(F.col("doc_b").alias("doc_a")), "doc_a", "left_anti")
+        new = edges.join(low, "doc_a", "left_semi").select(F.col("doc_b").alias("gone_id")).distinct().checkpoint()
+        if not new.limit(1).count():
+            return gone
+        gone = gone.unionByName(new)
+        for end in ("doc_a", "doc_b"):
+            edges = edges.join(new, edges[end] == new["gone_id"], "left_anti")
+        edges = edges.checkpoint()
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
+    """docs without the documents of which a near copy with a smaller id stays; rows without id or text stay."""
     from weftgraph.session import shared_checkpoints
 
-    shared_checkpoints(pairs.sparkSession)
-    both = F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("y")))
-    edges = pairs.select(F.explode(both).alias("e")).select("e.*").checkpoint()
-    label = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("rep")).checkpoint()
-    while True:
-        near = edges.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("rep").alias("low"))
-        step = label.join(near, "x").select("x", F.least("rep", "low").alias("low"), "rep")
-        jump = step.select(F.col("x").alias("low"), F.col("low").alias("far"))
-        new = step.join(jump, "low").select("x", F.least("low", "far").alias("new"), "rep").checkpoint()
-        moved = new.filter("new < rep").limit(1).count()
-        label = new.select("x", F.col("new").alias("rep"))
-        if not moved:
-            return label.withColumnRenamed("x", "doc_id")
-
-
-def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that a smaller id of their group of near copies stands for; rows without id or text stay."""
-    groups = components(jaccard_join(docs, n, threshold))
-    gone = groups.filter("doc_id <> rep").select(F.col("doc_id").alias("gone_id"))
+    shared_checkpoints(docs.sparkSession)
+    pairs = jaccard_join(docs, n, threshold).select("doc_a", "doc_b", "jaccard").checkpoint()
+    # Equal sets: either their representative stays, or what stays for it is as near to them.
+    equal = pairs.filter("jaccard = 1").select(F.col("doc_b").alias("gone_id"))
+    gone = near_copies(pairs.filter("jaccard < 1")).unionByName(equal)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
