@@ -120,7 +120,17 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     doc = np.repeat(np.arange(len(texts)), counts)
     rng = np.random.default_rng(seed)
     mixed = rng.permutation(len(doc))
-    chosen = np.concatenate([mixed[toxic[doc[mixed]] == 1], mixed[toxic[doc[mixed]] == 0]])[:MAX_WINDOWS]
+    by_doc = np.argsort(doc[mixed], kind="stable")
+    turn = np.empty(len(doc), np.int64)  # of a window among its document's
+    turn[by_doc] = K.expand(counts)
+    even = mixed[np.argsort(turn, kind="stable")]
+    classes = [even[toxic[doc[even]] == c] for c in (0, 1)]
+    # Each class has half of the room, and what the other leaves; windows are taken from all its documents in turn.
+    most = min(len(classes[1]), max(MAX_WINDOWS // 2, MAX_WINDOWS - len(classes[0])))
+    drawn = np.zeros(len(doc), bool)
+    drawn[classes[1][:most]] = drawn[classes[0][: MAX_WINDOWS - most]] = True
+    mixed = mixed[drawn[mixed]]
+    chosen = np.concatenate([mixed[toxic[doc[mixed]] == 1], mixed[toxic[doc[mixed]] == 0]])
     place = np.full(len(doc), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     doc = doc[chosen]
