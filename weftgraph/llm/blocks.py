@@ -7,12 +7,17 @@ substring chaining, suffix arrays) follow one plan:
    packed byte blocks, one per hash bucket and some million words.  A block
    costs the JVM one row, so no feature ever becomes a Spark row.
 2. ``links``: each bucket sorts its features; the documents of a feature are
-   linked to the smallest of them, its anchor.  This takes as many links as
-   there are postings, never a square of a group's size.
+   linked to the smallest of them, its anchor, and on demand to the one before
+   them too.  This takes as many links as there are postings, or twice as many,
+   never a square of a group's size.
 3. ``regroup``: links are summed for each document; the caller's rule keeps
-   the anchors that matter by bounds that lose no result.
+   the anchors that matter.  Whether its bounds lose a result is the caller's
+   matter, and is stated there.
 4. ``gather``: texts of documents that kept an anchor are joined back by id
-   and grouped by anchor, so that each comparison sees whole texts.
+   and grouped by anchor, so that each comparison sees whole texts.  An anchor
+   of more than `most` features in all is split: into cells of one part of its
+   members each, with the anchor in all of them (star), or into a cell for each
+   two parts (pairs), so that no task holds an unbounded group.
 
 Buckets follow spark.sql.shuffle.partitions, which is to be set in proportion
 to the input, so that memory per task doesn't depend on the corpus.
@@ -116,11 +121,13 @@ def unpack(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(where), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
 
 
-def links(posted: DataFrame, targets: int, least: int = 1) -> DataFrame:
+def links(posted: DataFrame, targets: int, before: bool = False) -> DataFrame:
     """(target, data): for each bucket, packed (document, anchor, number of shared features, document's features).
 
     The anchor is the smallest id among the documents of a feature, and is
-    linked to itself.  Features of a single document make no link.
+    linked to itself.  Features of a single document make no link.  If `before`,
+    each document is also linked to the next smaller id of the feature, and no
+    document to itself.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -135,8 +142,14 @@ def links(posted: DataFrame, targets: int, least: int = 1) -> DataFrame:
         start = np.flatnonzero(first)
         length = np.diff(np.concatenate([start, [len(top)]]))
         shared = np.repeat(length > 1, length)
-        anchor = np.repeat(doc[start], length)[shared] if len(start) else doc
-        pair, n = np.unique((doc[shared].astype(U64) << U64(32)) | anchor.astype(U64), return_counts=True)
+        anchor = np.repeat(doc[start], length) if len(start) else doc
+        pair = (doc[shared].astype(U64) << U64(32)) | anchor[shared].astype(U64)
+        if before:
+            later = np.flatnonzero(~first)
+            near = doc[later - 1]
+            apart = near != anchor[later]
+            pair = np.concatenate([(doc[later].astype(U64) << U64(32)) | anchor[later].astype(U64), (doc[later].astype(U64) << U64(32))[apart] | near[apart].astype(U64)])
+        pair, n = np.unique(pair, return_counts=True)
         d, a = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
         target = (K.mix(known.astype(U64)) % U64(targets)).astype(np.int64)[d] if len(d) else d
         order = np.argsort(target, kind="stable")
@@ -162,7 +175,7 @@ Keep = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def regroup(linked: DataFrame, keep: Keep) -> DataFrame:
-    """(doc_id, anchors): the links that keep(document, anchor, n, size) chooses; rows come sorted by document, then n from the largest."""
+    """(doc_id, size, anchors): the links that keep(document, anchor, n, size) chooses; rows come sorted by document, then n from the largest."""
 
     def run(table: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], []]
@@ -181,19 +194,48 @@ def regroup(linked: DataFrame, keep: Keep) -> DataFrame:
         order = np.lexsort((anchor, -n, doc))
         doc, anchor, n, size = doc[order], anchor[order], n[order], size[order]
         kept = keep(doc, anchor, n, size)
-        doc, anchor = doc[kept], anchor[kept]
+        doc, anchor, size = doc[kept], anchor[kept], size[kept]
         s, e = _runs(doc)
-        return pa.table({"doc_id": pa.array(doc[s] if s else [], pa.int64()), "anchors": pa.ListArray.from_arrays(pa.array([*s, len(doc)] if s else [0], pa.int32()), pa.array(anchor, pa.int64()))})
+        return pa.table({"doc_id": pa.array(doc[s] if s else [], pa.int64()), "size": pa.array(size[s] if s else [], pa.int64()), "anchors": pa.ListArray.from_arrays(pa.array([*s, len(doc)] if s else [0], pa.int32()), pa.array(anchor, pa.int64()))})
 
-    return linked.groupBy("target").applyInArrow(run, "doc_id long, anchors array<long>")
+    return linked.groupBy("target").applyInArrow(run, "doc_id long, size long, anchors array<long>")
 
 
-def gather(docs: DataFrame, kept: DataFrame, blocks: int) -> DataFrame:
-    """(block, doc_id, text, anchors, mine): each document's text once for each block that one of its anchors falls into; mine are those anchors."""
-    slot = lambda a: F.pmod(F.xxhash64(a), F.lit(blocks)).cast("int")
-    met = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"))
-    spread = met.withColumn("block", F.explode(F.array_distinct(F.transform("anchors", slot))))
-    return spread.select("block", "doc_id", "text", "anchors", F.filter("anchors", lambda a: slot(a) == F.col("block")).alias("mine"))
+#: Columns that name a cell: documents are compared with those of the same cell.
+CELL = ["block", "hot", "lo", "hi"]
+MOST = 8_000_000
+
+
+def gather(docs: DataFrame, kept: DataFrame, blocks: int, most: int = MOST, star: bool = False) -> DataFrame:
+    """(block, hot, lo, hi, part, doc_id, text, anchors, mine): each document's text once for each cell that its anchors fall into; mine are those anchors.
+
+    Anchors share a block by hash (hot 0, lo and hi -1); one whose documents have over
+    `most` features has cells of its own (hot is its id): documents get a part
+    by hash, and cell (lo, hi) holds parts lo and hi; in a star lo = hi, and the
+    anchor is in all cells.
+    """
+    link = kept.select("doc_id", "size", F.explode("anchors").alias("anchor"))
+    if star:
+        link = link.unionByName(link.select(F.col("anchor").alias("doc_id"), F.lit(0).cast("long").alias("size"), "anchor").distinct())
+    hot = link.groupBy("anchor").agg(F.sum("size").alias("w")).filter(F.col("w") > most).select(F.col("anchor").alias("popular"), F.ceil(F.col("w") / most).cast("int").alias("cells"))
+    link = link.join(hot, F.col("anchor") == F.col("popular"), "left")
+    slot, part, every = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("cells")).cast("int"), F.sequence(F.lit(0), F.col("cells") - 1)
+    none = F.lit(-1)
+
+    def cell(lo, hi, mine):
+        return F.struct(slot.alias("block"), F.when(F.col("cells").isNull(), F.lit(0).cast("long")).otherwise(F.col("anchor")).alias("hot"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), mine.cast("int").alias("part"))
+
+    if star:
+        popular = F.when(F.col("doc_id") == F.col("anchor"), F.transform(every, lambda j: cell(j, j, j))).otherwise(F.array(cell(part, part, part)))
+    else:
+        popular = F.transform(every, lambda j: cell(F.least(part, j), F.greatest(part, j), part))
+    link = link.select("doc_id", "anchor", F.explode(F.when(F.col("cells").isNull(), F.array(cell(none, none, none))).otherwise(popular)).alias("cell"))
+    met = link.groupBy(F.col("doc_id").alias("kept_id")).agg(F.collect_list(F.struct("cell", "anchor")).alias("met"))
+    met = docs.join(met, F.col("doc_id") == F.col("kept_id"))
+    anchors = F.array_sort(F.array_distinct(F.transform("met", lambda m: m["anchor"])))
+    spread = met.select("doc_id", "text", "met", anchors.alias("anchors"), F.explode(F.array_distinct(F.transform("met", lambda m: m["cell"]))).alias("cell"))
+    mine = F.transform(F.filter("met", lambda m: m["cell"] == F.col("cell")), lambda m: m["anchor"])
+    return spread.select("cell.*", "doc_id", "text", "anchors", mine.alias("mine"))
 
 
 def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

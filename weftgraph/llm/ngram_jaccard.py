@@ -11,21 +11,29 @@ t / (1 + t) * |A|: a pair that neither side meets in a kept anchor would share
 less than the bound.  Documents that keep an anchor meet there, and the product
 of their incidence rows, tile by tile, gives the exact overlaps.
 
-Result: (doc_a, doc_b, overlap, size_a, size_b, jaccard), doc_a < doc_b.
+``similar_documents`` (the query): (doc_id, class_id, set_id, links), a row for
+each document that has a partner.  set_id is the smallest id with an equal
+n-gram set, links the number of other sets with Jaccard >= t, each counted, and
+class_id the smallest id of all that hang together by such pairs.  Rows follow
+the documents, however large a group of copies or near copies is.
+
+``jaccard_join``: (doc_a, doc_b, overlap, size_a, size_b, jaccard), doc_a < doc_b.
 Documents with equal n-gram sets are collapsed: the smallest id stands for the
 set in all pairs, and each other member appears once, with it, at 1.0.  This
-loses no information (the pairs of a class are those of its representative)
-and keeps thousands of exact copies linear.
+loses no information (the pairs of a class are those of its representative).
+
+Equal sets are found by 128 bits of digest and one aggregation, before texts
+move, so thousands of exact copies never meet in a task.  An anchor that many
+different documents keep is compared part by part (blocks.gather).
 
 Defined cases: null ids or texts and texts without words make no pair; a text
-of fewer than n words has one n-gram, itself; of rows that repeat an id the
-smallest text counts; other columns are ignored.
+of fewer than n words has one n-gram, itself; of rows that repeat an id the one
+with the smallest set digest counts; other columns are ignored; an empty table
+gives no row.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +41,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import blocks as B
 from weftgraph.llm import kernels as K
+from weftgraph.operators.cluster import connected
+from weftgraph.session import shared_checkpoints
 
 N, THRESHOLD, NEAR_COPY = 5, 0.3, 0.5
 ROWS, COLUMNS = 1024, 8192
@@ -113,67 +123,143 @@ def _small(a: np.ndarray, b: np.ndarray, t: float):
     return o if o and o >= t * (len(a) + len(b) - o) - 1e-9 else 0
 
 
-def compare(table: pa.Table, n: int, t: float) -> pa.Table:
-    table = B.by_id(table)
-    ids = table.column("doc_id").to_numpy()
-    sets: list[np.ndarray] = []
-    for _, piece in K.pieces(B.one(table.column("text"))):
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes, as two signed integers; any order gives the same."""
+    with np.errstate(over="ignore"):
+        a = np.array([K.mix(grams).sum(dtype=np.uint64), K.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+    return tuple(a.view(np.int64).tolist())
+
+
+def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """The sorted n-gram set of each row."""
+    out: list[np.ndarray] = []
+    for _, piece in K.pieces(column):
         h, row, _ = K.ngrams(K.Words(piece), n)
         cut = np.searchsorted(row, np.arange(len(piece) + 1))
-        sets += [np.unique(h[cut[k] : cut[k + 1]]) for k in range(len(piece))]
+        out += [np.unique(h[cut[k] : cut[k + 1]]) for k in range(len(piece))]
+    return out
+
+
+def digests(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, d1, d2, size) of the n-gram set of each document with words; the smallest of a repeated id."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            rows = [(d, *_digest(s), len(s)) for d, s in zip(ids, _sets(batch.column(1), n)) if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "d1", "d2", "size"])
+
+    made = docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long")
+    return made.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "size")).alias("d")).select("doc_id", "d.*")
+
+
+def _tables(table: pa.Table, n: int):
+    """(ids, sets, kept anchors, part) by row, ids ascending and unique."""
+    table = table.sort_by("doc_id")
+    ids, sets = table.column("doc_id").to_numpy(), _sets(B.one(table.column("text")), n)
+    take = list(range(len(ids)))
+    if len(np.unique(ids)) < len(ids):
+        best: dict[int, int] = {}
+        for k, d in enumerate(ids.tolist()):
+            if len(sets[k]) and (d not in best or (_digest(sets[k]), k) < (_digest(sets[best[d]]), best[d])):
+                best[d] = k
+        take = sorted(best.values())
+    table = table.take(pa.array(take, pa.int64()))
+    return ids[take], [sets[k] for k in take], table
+
+
+def compare(table: pa.Table, n: int, t: float, pairs: bool) -> pa.Table:
+    """Pairs of a cell, or for each document and anchor its number of pairs and the smallest id that they reach."""
+    ids, sets, table = _tables(table, n)
     mine, at = B.lists(table.column("mine"))
     keeps, kat = B.lists(table.column("anchors"))
     keep = [set(keeps[kat[k] : kat[k + 1]].tolist()) for k in range(len(ids))]
+    part, cross = table.column("part").to_numpy(), len(ids) > 0 and table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
     member = np.repeat(np.arange(len(ids)), np.diff(at))
     order = np.lexsort((member, mine))
     mine, member = mine[order], member[order]
-    digest = [s.tobytes() for s in sets]
-    rows: list[list] = [[], [], [], []]
+    only = np.array([len(k) == 1 for k in keep], bool)
+    out: list[np.ndarray] = []
     for s, e in zip(*B._runs(mine)):
-        anchor, docs = int(mine[s]), [m for m in member[s:e].tolist() if len(sets[m])]
+        anchor, docs = int(mine[s]), np.array([m for m in member[s:e].tolist() if len(sets[m])], np.int64)
         if len(docs) < 2:
             continue
-        rep: dict[bytes, int] = {}
-        for d in docs:  # ids ascend
-            r = rep.setdefault(digest[d], d)
-            if r != d and min(keep[d] & keep[r]) == anchor:
-                for c, v in zip(rows, (ids[r], ids[d], len(sets[d]), (len(sets[r]), len(sets[d])))):
-                    c.append(v)
-        docs = list(rep.values())
         if len(docs) == 2:
             o = _small(sets[docs[0]], sets[docs[1]], t)
-            found = [(0, 1, o)] if o else []
-        elif len(docs) > 2:
-            found = list(zip(*(x.tolist() for x in product(ids[docs], [sets[d] for d in docs], t))))
+            i, j, o = (np.array(x, np.int64) for x in (([0], [1], [o]) if o else ([], [], [])))
         else:
-            found = []
-        for i, j, o in found:
-            a, b = docs[i], docs[j]
-            if ids[a] > ids[b]:
-                a, b = b, a
-            if len(keep[a]) == 1 or len(keep[b]) == 1 or min(keep[a] & keep[b]) == anchor:
-                for c, v in zip(rows, (ids[a], ids[b], o, (len(sets[a]), len(sets[b])))):
-                    c.append(v)
-    a, b, o = (np.array(c, dtype=np.int64) for c in rows[:3])
-    z = np.array(rows[3], dtype=np.int64).reshape(-1, 2)
-    j = o / np.maximum(z[:, 0] + z[:, 1] - o, 1)
-    ok = j >= t - 1e-12
-    return pa.table({"doc_a": a[ok], "doc_b": b[ok], "overlap": o[ok], "size_a": z[ok, 0], "size_b": z[ok, 1], "jaccard": j[ok]})
-
-
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of documents whose word n-gram sets have Jaccard >= threshold (see the module's text)."""
+            i, j, o = product(ids[docs], [sets[d] for d in docs], t)
+        a, b = docs[i], docs[j]  # ids ascend
+        if cross:
+            a, b, o = (x[part[docs[i]] != part[docs[j]]] for x in (a, b, o))
+        once = only[a] | only[b]  # one common anchor, this one
+        for k in np.flatnonzero(~once):
+            once[k] = min(keep[a[k]] & keep[b[k]]) == anchor
+        a, b, o = a[once], b[once], o[once]
+        za, zb = (np.array([len(sets[x]) for x in y], np.int64) for y in (a, b))
+        ok = o >= t * (za + zb - o) - 1e-9
+        if pairs:
+            out.append(np.stack([ids[a], ids[b], o, za, zb])[:, ok])
+        elif ok.any():
+            seen, count = np.unique(np.concatenate([a[ok], b[ok]]), return_counts=True)
+            out.append(np.stack([ids[seen], _roots(seen, a[ok], b[ok], ids), count]))
+    flat = np.concatenate(out, axis=1) if out else np.zeros((5 if pairs else 3, 0), np.int64)
+    if not pairs:
+        return pa.table(dict(zip(("doc_id", "other", "links"), flat)))
+    return pa.table({**dict(zip(("doc_a", "doc_b", "overlap", "size_a", "size_b"), flat)), "jaccard": flat[2] / np.maximum(flat[3] + flat[4] - flat[2], 1)})
+
+
+def _roots(seen: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each of `seen` reaches by the pairs (a, b)."""
+    i, j = np.searchsorted(seen, a), np.searchsorted(seen, b)
+    low = np.arange(len(seen))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            return ids[seen][low]
+        low = new
+
+
+def _met(docs: DataFrame, n: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(cells of documents to compare, (doc_id, set_id, size) of the documents that equal a smaller one)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must lie in (0, 1] and n be positive")
+    shared_checkpoints(docs.sparkSession)
     docs, parts = B.texts(docs), B.partitions(docs)
+    each = digests(docs, n).checkpoint()
+    many = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("c")).filter("c > 1")
+    copies = each.join(many, ["d1", "d2"]).filter("doc_id > set_id").select("doc_id", "set_id", "size").checkpoint()
 
     def feature(words: K.Words):
         h, row, _ = K.ngrams(words, n)
         return h, row
 
     kept = B.regroup(B.links(B.postings(docs, feature, parts), parts), _keep(threshold))
-    met = B.gather(docs, kept, 4 * parts)
-    return met.groupBy("block").applyInArrow(lambda t: compare(t, n, threshold), SCHEMA)
+    kept = kept.join(copies.select("doc_id"), "doc_id", "left_anti").checkpoint()
+    return B.gather(docs, kept, 4 * parts, most), copies
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
+    """Pairs of documents whose word n-gram sets have Jaccard >= threshold (see the module's text)."""
+    met, copies = _met(docs, n, threshold, most)
+    found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, True), SCHEMA)
+    size = F.col("size")
+    return found.unionByName(copies.select(F.col("set_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("overlap"), size.alias("size_a"), size.alias("size_b"), F.lit(1.0).alias("jaccard")))
+
+
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
+    """(doc_id, class_id, set_id, links) of each document with a partner (see the module's text)."""
+    met, copies = _met(docs, n, threshold, most)
+    found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, False), "doc_id long, other long, links long").checkpoint()
+    part = connected(found.filter("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy(F.col("doc_id").alias("set_id")).agg(F.sum("links").alias("links"))
+    every = copies.select("doc_id", "set_id").unionByName(links.select("set_id").union(copies.select("set_id")).distinct().select(F.col("set_id").alias("doc_id"), "set_id"))
+    out = every.join(links, "set_id", "left").join(part.select(F.col("id").alias("set_id"), "rep"), "set_id", "left")
+    return out.select("doc_id", F.coalesce("rep", "set_id").alias("class_id"), "set_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def near_copies(pairs: DataFrame) -> DataFrame:
@@ -198,8 +284,6 @@ def near_copies(pairs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
     """docs without the documents of which a near copy with a smaller id stays; rows without id or text stay."""
-    from weftgraph.session import shared_checkpoints
-
     shared_checkpoints(docs.sparkSession)
     pairs = jaccard_join(docs, n, threshold).select("doc_a", "doc_b", "jaccard").checkpoint()
     # Equal sets: either their representative stays, or what stays for it is as near to them.

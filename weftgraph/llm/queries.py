@@ -10,7 +10,7 @@ def _read(spark, sf_dir, table):
 
 
 def op3_ngram_jaccard_join(spark, sf_dir):
-    return ngram_jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
+    return ngram_jaccard.similar_documents(_read(spark, sf_dir, "documents"))
 
 
 def op1_collinear_passages(spark, sf_dir):
