@@ -122,7 +122,7 @@ def unpack(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def links(posted: DataFrame, targets: int, before: bool = False) -> DataFrame:
-    """(target, data): for each bucket, packed (document, anchor, number of shared features, document's features).
+    """(target, data): for each bucket, packed (document, anchor, number of shared features, features of the document and of the anchor).
 
     The anchor is the smallest id among the documents of a feature, and is
     linked to itself.  Features of a single document make no link.  If `before`,
@@ -135,7 +135,7 @@ def links(posted: DataFrame, targets: int, before: bool = False) -> DataFrame:
         known, number = np.unique(ids, return_inverse=True)
         least_size = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least_size, number, sizes)
-        key = np.unique((h << U64(32)) | number[where].astype(U64))  # by hash, then id
+        key = K.distinct((h << U64(32)) | number[where].astype(U64))  # by hash, then id
         doc = (key & U64(0xFFFFFFFF)).astype(np.int64)
         top = key >> U64(32)
         first = np.concatenate([[True], top[1:] != top[:-1]]) if len(top) else np.zeros(0, bool)
@@ -158,7 +158,7 @@ def links(posted: DataFrame, targets: int, before: bool = False) -> DataFrame:
         for s, e in zip(*_runs(target)):
             m = e - s
             out_t.append(int(target[s]))
-            out_b.append(np.uint32(m).tobytes() + K.plane(known[d[s:e]]) + K.plane(known[a[s:e]]) + K.plane(n[s:e].astype(np.uint32)) + K.plane(least_size[d[s:e]].astype(np.uint32)))
+            out_b.append(np.uint32(m).tobytes() + K.plane(known[d[s:e]]) + K.plane(known[a[s:e]]) + K.plane(n[s:e].astype(np.uint32)) + K.plane(least_size[d[s:e]].astype(np.uint32)) + K.plane(least_size[a[s:e]].astype(np.uint32)))
         return pa.table({"target": pa.array(out_t, pa.int32()), "data": pa.array(out_b, pa.binary())})
 
     return posted.groupBy("bucket").applyInArrow(run, "target int, data binary")
@@ -175,30 +175,46 @@ Keep = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def regroup(linked: DataFrame, keep: Keep) -> DataFrame:
-    """(doc_id, size, anchors): the links that keep(document, anchor, n, size) chooses; rows come sorted by document, then n from the largest."""
+    """(doc_id, size, anchors, sizes): the links that keep(document, anchor, n, size) chooses, with the anchors' sizes; rows come sorted by document, then n from the largest."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         for b in table.column("data").to_pylist():
             m, at = int(np.frombuffer(b, np.uint32, count=1)[0]), 4
-            for c, kind in zip(cols, (np.int64, np.int64, np.uint32, np.uint32)):
+            for c, kind in zip(cols, (np.int64, np.int64, np.uint32, np.uint32, np.uint32)):
                 size = m * np.dtype(kind).itemsize
                 c.append(K.unplane(b[at : at + size], m, kind))
                 at += size
-        doc, anchor, n, size = (np.concatenate(c).astype(np.int64) for c in cols)
+        doc, anchor, n, size, theirs = (np.concatenate(c).astype(np.int64) for c in cols)
         order = np.lexsort((anchor, doc))
-        doc, anchor, n, size = doc[order], anchor[order], n[order], size[order]
+        doc, anchor, n, size, theirs = (x[order] for x in (doc, anchor, n, size, theirs))
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]))
-        n, size = np.add.reduceat(n, new), np.minimum.reduceat(size, new)
+        n, size, theirs = np.add.reduceat(n, new), np.minimum.reduceat(size, new), np.minimum.reduceat(theirs, new)
         doc, anchor = doc[new], anchor[new]
         order = np.lexsort((anchor, -n, doc))
-        doc, anchor, n, size = doc[order], anchor[order], n[order], size[order]
+        doc, anchor, n, size, theirs = (x[order] for x in (doc, anchor, n, size, theirs))
         kept = keep(doc, anchor, n, size)
-        doc, anchor, size = doc[kept], anchor[kept], size[kept]
+        doc, anchor, size, theirs = doc[kept], anchor[kept], size[kept], theirs[kept]
         s, e = _runs(doc)
-        return pa.table({"doc_id": pa.array(doc[s] if s else [], pa.int64()), "size": pa.array(size[s] if s else [], pa.int64()), "anchors": pa.ListArray.from_arrays(pa.array([*s, len(doc)] if s else [0], pa.int32()), pa.array(anchor, pa.int64()))})
+        at = pa.array([*s, len(doc)] if s else [0], pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (anchor, theirs)]
+        return pa.table({"doc_id": pa.array(doc[s] if s else [], pa.int64()), "size": pa.array(size[s] if s else [], pa.int64()), "anchors": lists[0], "sizes": lists[1]})
 
-    return linked.groupBy("target").applyInArrow(run, "doc_id long, size long, anchors array<long>")
+    return linked.groupBy("target").applyInArrow(run, "doc_id long, size long, anchors array<long>, sizes array<long>")
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint(), after which the shuffle files that led there are removed: nothing needs them any more."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(_CLEAN, before)
 
 
 #: Columns that name a cell: documents are compared with those of the same cell.
@@ -206,17 +222,23 @@ CELL = ["block", "hot", "lo", "hi"]
 MOST = 8_000_000
 
 
-def gather(docs: DataFrame, kept: DataFrame, blocks: int, most: int = MOST, star: bool = False) -> DataFrame:
-    """(block, hot, lo, hi, part, doc_id, text, anchors, mine): each document's text once for each cell that its anchors fall into; mine are those anchors.
+def exploded(kept: DataFrame) -> DataFrame:
+    """(doc_id, size, anchor, partner): a row for each anchor of each document, to meet the anchor there."""
+    return kept.select("doc_id", "size", F.explode("anchors").alias("anchor")).withColumn("partner", F.col("anchor"))
+
+
+def gather(docs: DataFrame, link: DataFrame, blocks: int, most: int = MOST, star: bool = False) -> DataFrame:
+    """(block, hot, lo, hi, part, doc_id, text, anchors, mine): each document's text once for each cell that its anchors fall into.
 
-    Anchors share a block by hash (hot 0, lo and hi -1); one whose documents have over
-    `most` features has cells of its own (hot is its id): documents get a part
-    by hash, and cell (lo, hi) holds parts lo and hi; in a star lo = hi, and the
-    anchor is in all cells.
+    anchors are all of the document's, mine the partners that it has to meet in
+    this cell.  Anchors share a block by hash (hot 0, lo and hi -1); one whose
+    documents have over `most` features has cells of its own (hot is its id):
+    documents get a part by hash, and cell (lo, hi) holds parts lo and hi; in a
+    star lo = hi, and the anchor is in all cells.  link is read twice: pass what
+    is checkpointed.
     """
-    link = kept.select("doc_id", "size", F.explode("anchors").alias("anchor"))
     if star:
-        link = link.unionByName(link.select(F.col("anchor").alias("doc_id"), F.lit(0).cast("long").alias("size"), "anchor").distinct())
+        link = link.unionByName(link.select(F.col("anchor").alias("doc_id"), F.lit(0).cast("long").alias("size"), "anchor", F.col("anchor").alias("partner")).distinct())
     hot = link.groupBy("anchor").agg(F.sum("size").alias("w")).filter(F.col("w") > most).select(F.col("anchor").alias("popular"), F.ceil(F.col("w") / most).cast("int").alias("cells"))
     link = link.join(hot, F.col("anchor") == F.col("popular"), "left")
     slot, part, every = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("cells")).cast("int"), F.sequence(F.lit(0), F.col("cells") - 1)
@@ -229,12 +251,12 @@ def gather(docs: DataFrame, kept: DataFrame, blocks: int, most: int = MOST, star
         popular = F.when(F.col("doc_id") == F.col("anchor"), F.transform(every, lambda j: cell(j, j, j))).otherwise(F.array(cell(part, part, part)))
     else:
         popular = F.transform(every, lambda j: cell(F.least(part, j), F.greatest(part, j), part))
-    link = link.select("doc_id", "anchor", F.explode(F.when(F.col("cells").isNull(), F.array(cell(none, none, none))).otherwise(popular)).alias("cell"))
-    met = link.groupBy(F.col("doc_id").alias("kept_id")).agg(F.collect_list(F.struct("cell", "anchor")).alias("met"))
+    link = link.select("doc_id", "anchor", "partner", F.explode(F.when(F.col("cells").isNull(), F.array(cell(none, none, none))).otherwise(popular)).alias("cell"))
+    met = link.groupBy(F.col("doc_id").alias("kept_id")).agg(F.collect_list(F.struct("cell", "anchor", "partner")).alias("met"))
     met = docs.join(met, F.col("doc_id") == F.col("kept_id"))
     anchors = F.array_sort(F.array_distinct(F.transform("met", lambda m: m["anchor"])))
     spread = met.select("doc_id", "text", "met", anchors.alias("anchors"), F.explode(F.array_distinct(F.transform("met", lambda m: m["cell"]))).alias("cell"))
-    mine = F.transform(F.filter("met", lambda m: m["cell"] == F.col("cell")), lambda m: m["anchor"])
+    mine = F.transform(F.filter("met", lambda m: m["cell"] == F.col("cell")), lambda m: m["partner"])
     return spread.select("cell.*", "doc_id", "text", "anchors", mine.alias("mine"))
 
 

@@ -212,6 +212,12 @@ def unplane(b: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, count=n * size).reshape(size, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; many times as fast as a unique by hashing."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def expand(counts: np.ndarray) -> np.ndarray:
     """0 .. c - 1 for every count c, one after another."""
     total = int(counts.sum())

@@ -136,7 +136,7 @@ def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
     for _, piece in K.pieces(column):
         h, row, _ = K.ngrams(K.Words(piece), n)
         cut = np.searchsorted(row, np.arange(len(piece) + 1))
-        out += [np.unique(h[cut[k] : cut[k + 1]]) for k in range(len(piece))]
+        out += [K.distinct(h[cut[k] : cut[k + 1]]) for k in range(len(piece))]
     return out
 
 
@@ -230,17 +230,18 @@ def _met(docs: DataFrame, n: int, threshold: float, most: int) -> tuple[DataFram
         raise ValueError("threshold must lie in (0, 1] and n be positive")
     shared_checkpoints(docs.sparkSession)
     docs, parts = B.texts(docs), B.partitions(docs)
-    each = digests(docs, n).checkpoint()
+    each = B.cut(digests(docs, n))
     many = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("c")).filter("c > 1")
-    copies = each.join(many, ["d1", "d2"]).filter("doc_id > set_id").select("doc_id", "set_id", "size").checkpoint()
+    copies = each.join(many, ["d1", "d2"]).filter("doc_id > set_id").select("doc_id", "set_id", "size")
+    copies = B.cut(copies)
 
     def feature(words: K.Words):
         h, row, _ = K.ngrams(words, n)
         return h, row
 
     kept = B.regroup(B.links(B.postings(docs, feature, parts), parts), _keep(threshold))
-    kept = kept.join(copies.select("doc_id"), "doc_id", "left_anti").checkpoint()
-    return B.gather(docs, kept, 4 * parts, most), copies
+    kept = B.cut(kept.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    return B.gather(docs, B.exploded(kept), 4 * parts, most), copies
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
@@ -254,7 +255,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
     """(doc_id, class_id, set_id, links) of each document with a partner (see the module's text)."""
     met, copies = _met(docs, n, threshold, most)
-    found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, False), "doc_id long, other long, links long").checkpoint()
+    found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, False), "doc_id long, other long, links long")
+    found = B.cut(found)
     part = connected(found.filter("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy(F.col("doc_id").alias("set_id")).agg(F.sum("links").alias("links"))
     every = copies.select("doc_id", "set_id").unionByName(links.select("set_id").union(copies.select("set_id")).distinct().select(F.col("set_id").alias("doc_id"), "set_id"))
@@ -285,7 +287,7 @@ def near_copies(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
     """docs without the documents of which a near copy with a smaller id stays; rows without id or text stay."""
     shared_checkpoints(docs.sparkSession)
-    pairs = jaccard_join(docs, n, threshold).select("doc_a", "doc_b", "jaccard").checkpoint()
+    pairs = B.cut(jaccard_join(docs, n, threshold).select("doc_a", "doc_b", "jaccard"))
     # Equal sets: either their representative stays, or what stays for it is as near to them.
     equal = pairs.filter("jaccard = 1").select(F.col("doc_b").alias("gone_id"))
     gone = near_copies(pairs.filter("jaccard < 1")).unionByName(equal)
