@@ -3,16 +3,25 @@
 High-recall generators propose overlapping spans (addresses, numbers, keys);
 boosted trees judge each by its format (digits, separators, checksums, entropy)
 and its context (neighbouring characters, words before it); a monotone
-calibration on held-out candidates turns scores into probabilities; spans over
-the kind's threshold are taken greedily, the most probable first, so that the
-selected ones don't overlap.
+calibration on held-out candidates turns scores into probabilities, and each
+kind's threshold is the smallest probability from which candidates of further
+held-out sentences are true with PRECISION; spans over the kind's threshold are
+taken greedily, the most probable first, so that the selected ones don't
+overlap.
 
 The trees are trained here, on candidates from generated sentences that hold
 known personal data and look-alikes (dates, versions, order numbers, prices,
-commit hashes); fit() is deterministic and takes a second or two.
-
-Defined cases: null and empty texts have no spans; spans are [start, end) in
-characters of the whole text; of rows that repeat an id each is read by itself.
+commit hashes, card numbers with a wrong check digit); fit() is deterministic
+and takes a few seconds.  All patterns take time in proportion to a text, also
+where it is one run of millions of characters: an address is read outwards from
+its '@', and selected spans are kept sorted.
+
+Defined cases: null and empty texts have no spans; rows without an id are read
+too, with a null id; spans are [start, end) in characters of the whole text, of
+any length; of rows that repeat an id each is read by itself; of spans with
+equal probability the longer wins, then the first kind and place; other columns
+are ignored by personal_spans and kept by redacted, which touches n_chars only
+if it holds integers; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,8 +29,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_PART = r"[^\s@<>()\[\]{}|,;:\"']"
+#: The part before an '@', read backwards, the part after it, and what ends a domain.
+_BEFORE, _AFTER, _TOP = re.compile(f"{_PART}+"), re.compile(f"{_PART}+"), re.compile(r"\.[A-Za-z]{2,}")
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "secret")
 #: Kind, what every match holds (looked for first, once a text), and the spans.
 GENERATORS = [
-    ("email", "@", re.compile(r"[^\s@<>()\[\]{}|,;:\"']+@[^\s@<>()\[\]{}|,;:\"']+\.[A-Za-z]{2,}")),
     ("ip", r"[\d:]", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", r"\d", re.compile(r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)")),
     ("ssn", r"\d", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
@@ -47,8 +60,25 @@ HINTS = [r"mail|contact|write", r"phone|tel|call|fax|mobile|cell", r"\bip\b|host
 _HINTS = [re.compile(h, re.I) for h in HINTS]
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans around each '@': the characters of an address on both sides, up to the last dot with letters."""
+    end = 0
+    for m in re.finditer("@", text):
+        at = m.start()
+        # The stretch since the last '@' is read once, from its end.
+        local = _BEFORE.match(text[end:at][::-1])
+        end = at + 1
+        after = _AFTER.match(text, at + 1)
+        if local and after:
+            top = None
+            for top in _TOP.finditer(text, at + 2, after.end()):
+                pass
+            if top:
+                yield at - local.end(), top.end()
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     has = {need for need in NEEDS if re.search(need, text)}
     for kind, need, pattern in GENERATORS:
         for m in pattern.finditer(text) if need in has else ():
@@ -87,17 +117,16 @@ def features(text: str, kind: str, s: int, e: int) -> list[float]:
     digits = re.sub(r"\D", "", v)
     before = text[max(0, s - 28) : s]
     n = len(v)
-    counts: dict[str, int] = {}
-    for c in v:
-        counts[c] = counts.get(c, 0) + 1
+    counts = Counter(v)
+    share = lambda test: sum(k for c, k in counts.items() if test(c)) / n
     entropy = -sum(x / n * math.log2(x / n) for x in counts.values())
     octets = re.fullmatch(r"(\d+)\.(\d+)\.(\d+)\.(\d+)", v)
     groups = re.split(r"\D+", v.strip("+()"))
     hexa = bool(re.fullmatch(r"[0-9a-fA-F]+", v))
     return [
-        *(float(kind == k) for k in KINDS), n, len(digits), len(digits) / n, sum(c.isalpha() for c in v) / n, sum(c.isupper() for c in v) / n, entropy, len(groups), max(map(len, groups)), min(map(len, groups)),
+        *(float(kind == k) for k in KINDS), n, len(digits), len(digits) / n, share(str.isalpha), share(str.isupper), entropy, len(groups), max(map(len, groups)), min(map(len, groups)),
         float(v.startswith("+")), float("(" in v), v.count("-"), v.count("."), v.count(" "), float("/" in v), float(13 <= len(digits) <= 19 and _luhn(digits)), float(bool(octets) and all(int(x) < 256 for x in octets.groups())),
-        float(kind == "iban" and v.replace(" ", "").isalnum() and _iban(v)), float(hexa), float(bool(re.fullmatch(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?|\d\d?[-./]\d\d?[-./](19|20)?\d\d", v))), float(any(c.islower() for c in v)) + 2 * float(any(c.isupper() for c in v)) + 4 * float(bool(digits)),
+        float(kind == "iban" and v.replace(" ", "").isalnum() and _iban(v)), float(hexa), float(bool(re.fullmatch(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?|\d\d?[-./]\d\d?[-./](19|20)?\d\d", v))), float(any(map(str.islower, counts))) + 2 * float(any(map(str.isupper, counts))) + 4 * float(bool(digits)),
         _class(before[-1:]), _class(text[e : e + 1]), *(float(bool(h.search(before))) for h in _HINTS),
     ]
 
@@ -111,6 +140,7 @@ class Trees:
     base: float
     knots: np.ndarray
     levels: np.ndarray
+    threshold: dict[str, float] = field(default_factory=dict)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         b = self.binned(x)
@@ -185,7 +215,7 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     def card(valid: bool) -> str:
         while True:
             x = r.choice("3456789") + d(15)
-            if _luhn(x) == valid or r.random() < 0.2:
+            if _luhn(x) == valid:
                 return x if r.random() < 0.6 else r.choice(" -").join(x[i : i + 4] for i in range(0, 16, 4))
 
     def iban() -> str:
@@ -199,20 +229,21 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         "email": [lambda: f"{word()}{r.choice(['.', '_', '-', '+', ''])}{r.choice([word(), d(2)])}@{word()}{r.choice(['', d(1)])}.{r.choice(['example.com', 'org', 'net', 'co.uk', 'de'])}"],
         "phone": [lambda: f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", lambda: f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"+{r.randint(1, 99)}{d(10)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
         "ip": [ip, ip, ip, lambda: ":".join(hexa(4) for _ in range(8))],
-        "card": [lambda: card(True), lambda: card(False)],
+        "card": [lambda: card(True)],
         "iban": [iban],
         "ssn": [lambda: f"{d(3)}-{d(2)}-{d(4)}"],
         "secret": [lambda: hexa(40), lambda: hexa(32), lambda: alnum(24), lambda: "sk-" + alnum(32), lambda: "AKIA" + alnum(16).upper(), lambda: alnum(10)],
     }
     lead = {"email": ["mail", "contact", ""], "phone": ["call", "phone", "tel.", ""], "ip": ["from", "host", "ip", ""], "card": ["card", "pay with", ""], "iban": ["IBAN", "account", ""], "ssn": ["SSN", "ssn:", ""], "secret": ['token = "', "api_key: ", "password=", "secret = '", "key: "]}
-    false = [lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: "version " + ".".join(d(1) for _ in range(4)), lambda: f"v. {d(1)}.{d(2)}.{d(1)}.{d(3)}", lambda: f"order {d(8)}", lambda: f"invoice #{d(10)}", lambda: f"ISBN 978-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"${d(1)},{d(3)},{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)} euro", lambda: f"commit {hexa(40)}", lambda: f"sha {hexa(32)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1990, 2030)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(4)} {d(4)}", lambda: word() * 8, lambda: "_".join(word() for _ in range(7)), lambda: f"{d(3)}.{r.randint(256, 999)}.{d(3)}.{d(3)}", lambda: f"pages {d(3)}-{d(4)}", lambda: f"{d(1)}.{d(12)}", lambda: f"id {d(14)}", lambda: f"{word()}/{word()}/{word()}-{word()}-{word()}"]
+    false = [lambda: card(False), lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: "version " + ".".join(d(1) for _ in range(4)), lambda: f"v. {d(1)}.{d(2)}.{d(1)}.{d(3)}", lambda: f"order {d(8)}", lambda: f"invoice #{d(10)}", lambda: f"ISBN 978-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"${d(1)},{d(3)},{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)} euro", lambda: f"commit {hexa(40)}", lambda: f"sha {hexa(32)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1990, 2030)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(4)} {d(4)}", lambda: word() * 8, lambda: "_".join(word() for _ in range(7)), lambda: f"{d(3)}.{r.randint(256, 999)}.{d(3)}.{d(3)}", lambda: f"pages {d(3)}-{d(4)}", lambda: f"{d(1)}.{d(12)}", lambda: f"id {d(14)}", lambda: f"{word()}/{word()}/{word()}-{word()}-{word()}"]
     text, spans = " ".join(word() for _ in range(r.randint(0, 8))), []
     for _ in range(r.randint(1, 3)):
         text += r.choice([" ", " ", " ", "\n", " | ", ", "])
         if r.random() < 0.55:
             kind = r.choice(KINDS)
-            start = r.choice(lead[kind]) if kind == "secret" or r.random() < 0.4 else ""
             value = r.choice(true[kind])()
+            bare = value.startswith(("AKIA", "sk-")) and r.random() < 0.5  # such keys tell by themselves
+            start = r.choice(lead[kind]) if kind == "secret" and not bare or r.random() < 0.4 else ""
             text += start + (" " if start and kind != "secret" else "")
             spans.append((kind, len(text), len(text) + len(value)))
             text += value + ('"' if start.endswith('"') else "'" if start.endswith("'") else r.choice(["", "", "", "."]))
@@ -222,25 +253,44 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     return text, spans
 
 
+PRECISION = 0.9
+
+
 @lru_cache(maxsize=1)
 def fit(sentences: int = 6000, seed: int = 11) -> Trees:
-    """The trees, from generated sentences; a quarter of them calibrates."""
+    """The trees, from generated sentences: a half fits them, a quarter calibrates, a quarter sets the thresholds."""
     r = random.Random(seed)
     x: list[list[float]] = []
     y: list[float] = []
-    held: list[bool] = []
+    part: list[int] = []
+    kinds: list[str] = []
     for i in range(sentences):
         text, spans = _sentence(r)
         truth = set(spans)
         for kind, s, e in candidates(text):
             x.append(features(text, kind, s, e))
             y.append(float((kind, s, e) in truth))
-            held.append(i % 4 == 0)
-    xs, ys, hs = np.array(x), np.array(y), np.array(held)
-    return boost(xs[~hs], ys[~hs], xs[hs], ys[hs])
+            part.append(i % 4)
+            kinds.append(kind)
+    xs, ys, ps, ks = np.array(x), np.array(y), np.array(part), np.array(kinds)
+    model = boost(xs[ps < 2], ys[ps < 2], xs[ps == 2], ys[ps == 2])
+    p = model.probability(xs)
+    for kind in KINDS:
+        mine = (ps == 3) & (ks == kind)
+        model.threshold[kind] = _threshold(p[mine], ys[mine])
+    return model
 
 
-THRESHOLD = {"email": 0.3, "phone": 0.4, "ip": 0.4, "card": 0.3, "iban": 0.4, "ssn": 0.4, "secret": 0.5}
+def _threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The middle between the smallest probability from which candidates are true with the precision and the next one; 1.01 if there is none."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    last = np.flatnonzero(np.concatenate([p[1:] != p[:-1], [True]])) if len(p) else np.zeros(0, np.int64)
+    good = last[np.cumsum(y)[last] >= precision * (last + 1)]
+    if not len(good):
+        return 1.01
+    at = int(good[-1])
+    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
 
 def spans(texts: list[str | None], model: Trees) -> list[list[tuple[int, int, str, float]]]:
@@ -253,12 +303,14 @@ def spans(texts: list[str | None], model: Trees) -> list[list[tuple[int, int, st
                 x.append(features(t, kind, s, e))
     p = model.probability(np.array(x)) if x else []
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    order = sorted(range(len(found)), key=lambda j: (-p[j], found[j][2] - found[j][3], found[j]))
+    order = sorted((j for j in range(len(found)) if p[j] >= model.threshold[found[j][1]]), key=lambda j: (-p[j], found[j][2] - found[j][3], found[j]))
     for j in order:
         i, kind, s, e = found[j]
-        if p[j] >= THRESHOLD[kind] and all(e <= a or b <= s for a, b, _, _ in out[i]):
-            out[i].append((s, e, kind, float(p[j])))
-    return [sorted(o) for o in out]
+        mine, new = out[i], (s, e, kind, float(p[j]))
+        at = bisect(mine, new)
+        if (not at or mine[at - 1][1] <= s) and (at == len(mine) or e <= mine[at][0]):
+            mine.insert(at, new)
+    return out
 
 
 def redact(text: str, found: list[tuple[int, int, str, float]]) -> str:
@@ -288,7 +340,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with each selected span replaced by its kind in brackets; n_chars, if there, follows the new text."""
     model = fit()
     at = docs.columns.index("text")
-    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    size = next((i for i, (name, kind) in enumerate(docs.dtypes) if name == "n_chars" and kind in ("int", "bigint")), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
