@@ -7,21 +7,26 @@ in a segment tree over free capacities 1 .. length, whose nodes tell whether a
 row with such a capacity is open.
 
 token_matrices (8) packs each task's documents, at most `group` tokens at a
-time, and writes rows of ids with cumulative segment lengths and position resets.
+time, and makes rows of ids with cumulative segment lengths and position resets;
+write_matrices puts them into raw files.
 
-certified_packing (10) packs lengths only.  Documents fall into 2**levels
-groups by the hash of their id.  For each group dual feasible functions give a
-lower bound on its rows; a group that reaches it is certified and done.
-In each of the rounds, two neighbouring groups meet; if one has a gap, the
-rows of both that aren't full exchange their documents and best-fit decreasing
-is run again over these, and the new rows stay if they are fewer.
+certified_packing (10) packs lengths only.  Documents fall by the hash of their
+id into groups of about `per` tokens, whatever the session's settings.  For each
+group dual feasible functions give a lower bound on its rows; a group that
+reaches it is certified and done.  In each round the groups with a gap meet in
+new tasks, about two by two and by a hash that differs from round to round, so
+any two may meet; rows that aren't full exchange their documents, best-fit
+decreasing is run again over these, and the new rows stay if they are fewer.
 
 Defined cases: null ids or texts give nothing, and a text without tokens takes
-no place; rows that repeat an id are packed each; other columns are ignored.
+no place; texts of any length are cut and packed whole; rows that repeat an id
+are packed each; equal sizes go by id, then place in the text; other columns are
+ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +38,11 @@ from pyspark.sql import functions as F
 from weftgraph.llm import blocks as B
 from weftgraph.llm import kernels as K
 from weftgraph.llm import tokens
+from weftgraph.session import shared_checkpoints
 
 LENGTH = 2048
 GROUP = 16_000_000
+PER = 4_000_000
 MATRIX = "row long, ids binary, used int, cu_seqlens array<int>, position_resets array<int>, first_positions array<int>, doc_ids array<long>"
 PACKED = "group int, bin int, used int, n int, doc_ids array<long>, starts array<long>, lengths array<int>, group_bins int, lower_bound int, certified boolean"
 
@@ -247,42 +254,84 @@ class Group:
         return Group(doc, start, size, bins, max(lower_bound(size, length), 0))
 
 
-def certified_packing(docs: DataFrame, ranks: str = tokens.DEFAULT_RANKS, length: int = LENGTH, groups: int | None = None, rounds: int = 3) -> DataFrame:
-    """One row for each bin, with its documents' chunks and its group's bin count, lower bound and certificate.
-
-    Groups meet two by two within one Spark group of 2**rounds; the rounds
-    stop for a group that is certified and whose neighbour is too.
+def certified_packing(docs: DataFrame, ranks: str = tokens.DEFAULT_RANKS, length: int = LENGTH, per: int = PER, rounds: int = 3) -> DataFrame:
+    """One row for each bin, with its documents' chunks and its group's bin count, lower bound and certificate."""
+    shared_checkpoints(docs.sparkSession)
+    sized = B.cut(lengths(docs, ranks).filter("tokens > 0"))
+    groups = max(1, -(-(sized.agg(F.sum("tokens")).head()[0] or 0) // per))
+
+    def pack(table: pa.Table) -> pa.Table:
+        doc, start, size = chunks(*(table.column(c).to_numpy() for c in ("doc_id", "tokens")), length)
+        return _rows(Group.of(table.column("doc_id").to_numpy()[doc], start, size, length), int(table.column("part")[0].as_py()))
+
+    def meet(table: pa.Table) -> pa.Table:
+        met = None
+        owner = table.column("group").to_numpy()
+        for g in np.unique(owner):
+            mine = _group(table.filter(pa.array(owner == g)))
+            met = mine if met is None else met.meet(mine, length)
+        return _rows(met, int(owner.min()))
+
+    state = B.cut(sized.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("part").applyInArrow(pack, PACKED))
+    done = state.filter("certified")
+    for k in range(rounds):
+        gaps = state.filter("not certified")
+        n = gaps.select("group").distinct().count()
+        if n < 2:
+            break
+        pair = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(-(-n // 2))).cast("int")
+        state = B.cut(gaps.withColumn("pair", pair).groupBy("pair").applyInArrow(meet, PACKED))
+        done = done.unionByName(state.filter("certified"))
+    return done.unionByName(state.filter("not certified"))
+
+
+def _group(rows: pa.Table) -> Group:
+    """The group of which these are the bins."""
+    size, at = B.lists(rows.column("lengths"))
+    bins = np.repeat(np.arange(len(rows)), np.diff(at))
+    return Group(B.lists(rows.column("doc_ids"))[0], B.lists(rows.column("starts"))[0], size.astype(np.int64), bins, int(rows.column("lower_bound")[0].as_py()))
+
+
+def _rows(g: Group, name: int) -> pa.Table:
+    order = np.lexsort((g.start, g.doc, -g.size, g.bins))
+    doc, start, size, bins = g.doc[order], g.start[order], g.size[order], g.bins[order]
+    cut = np.searchsorted(bins, np.arange(g.count + 1))
+    lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
+    same = lambda v, t: pa.array(np.full(g.count, v), t)
+    return pa.table({"group": same(name, pa.int32()), "bin": pa.array(np.arange(g.count), pa.int32()), "used": pa.array(np.add.reduceat(size, cut[:-1]), pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "doc_ids": lists(doc, pa.int64()), "starts": lists(start, pa.int64()), "lengths": lists(size, pa.int32()), "group_bins": same(g.count, pa.int32()), "lower_bound": same(g.bound, pa.int32()), "certified": same(g.count == g.bound, pa.bool_())})
+
+
+def write_matrices(matrices: DataFrame, folder: str) -> DataFrame:
+    """Raw files of token_matrices in a folder that all executors share: (file, rows, bytes) of each task that has rows.
+
+    part-N.bin has the ids row after row; part-N.npz has row, used, doc_ids,
+    first_positions and cu_seqlens (flat, with offsets), the position resets
+    being cu_seqlens without each row's last.  A task writes under another name
+    and renames at the end, so a retried one replaces what it left.
     """
-    parts = groups or B.partitions(docs)
-    sized = lengths(docs, ranks).filter("tokens > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts * 2**rounds)).cast("int"))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, n, part = (table.column(c).to_numpy() for c in ("doc_id", "tokens", "part"))
-        doc, start, size = chunks(ids, n, length)
-        part, doc = part[doc], ids[doc]
-        live = [Group.of(doc[part == p], start[part == p], size[part == p], length) for p in np.unique(part)]
-        done: list[Group] = []
-        for _ in range(rounds):
-            done += [g for g in live if g.count == g.bound]  # certified: nothing to gain
-            live = [g for g in live if g.count > g.bound]
-            if len(live) == 1 and done:
-                live.append(done.pop())  # a lone gap exchanges with a certified neighbour
-            live = [live[i].meet(live[i + 1], length) if i + 1 < len(live) else live[i] for i in range(0, len(live), 2)]
-        return _rows(done + live, int(table.column("slot")[0].as_py()))
-
-    slotted = sized.withColumn("slot", F.expr(f"part div {2**rounds}").cast("int"))
-    return slotted.groupBy("slot").applyInArrow(run, PACKED)
-
-
-def _rows(groups: list[Group], slot: int) -> pa.Table:
-    out: list[pa.Table] = []
-    base = 0
-    for g in groups:
-        order = np.lexsort((g.start, g.doc, -g.size, g.bins))
-        doc, start, size, bins = g.doc[order], g.start[order], g.size[order], g.bins[order]
-        cut = np.searchsorted(bins, np.arange(g.count + 1))
-        lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))  # noqa: E731, B023
-        same = lambda v, t: pa.array(np.full(g.count, v), t)  # noqa: E731, B023
-        out.append(pa.table({"group": same(slot, pa.int32()), "bin": pa.array(np.arange(g.count) + base, pa.int32()), "used": pa.array(np.add.reduceat(size, cut[:-1]), pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "doc_ids": lists(doc, pa.int64()), "starts": lists(start, pa.int64()), "lengths": lists(size, pa.int32()), "group_bins": same(g.count, pa.int32()), "lower_bound": same(g.bound, pa.int32()), "certified": same(g.count == g.bound, pa.bool_())}))
-        base += g.count
-    return pa.concat_tables(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, own = f"part-{task.partitionId():05d}", f".{task.taskAttemptId()}"
+        os.makedirs(folder, exist_ok=True)
+        rows, held, size = 0, [], 0
+        with open(f"{folder}/{name}{own}", "wb") as f:
+            for batch in batches:
+                for x in batch.column(batch.schema.get_field_index("ids")).to_pylist():
+                    size += f.write(x)
+                rows += batch.num_rows
+                held.append(batch.drop_columns(["ids"]))
+        if not rows:
+            os.remove(f"{folder}/{name}{own}")
+            return
+        t = pa.Table.from_batches(held)
+        arrays = {c: t.column(c).to_numpy() for c in ("row", "used")}
+        for c in ("doc_ids", "first_positions", "cu_seqlens"):
+            arrays[c], arrays[f"{c}_offsets"] = B.lists(t.column(c))
+        with open(f"{folder}/{name}.npz{own}", "wb") as f:
+            np.savez(f, **arrays)
+        for end in (".bin", ".npz"):
+            os.replace(f"{folder}/{name}{own}" if end == ".bin" else f"{folder}/{name}.npz{own}", f"{folder}/{name}{end}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.bin"]), pa.array([rows], pa.int64()), pa.array([size], pa.int64())], ["file", "rows", "bytes"])
+
+    return matrices.mapInArrow(run, "file string, rows long, bytes long")
