@@ -13,14 +13,19 @@ As the network is linear after averaging, vectors and weights fold into one
 number for each bucket; scoring is then a gather and a sum over whole columns.
 
 Fitting uses at most MAX_LABELLED labelled documents, chosen by the hash of
-their id, and of those at most MAX_WINDOWS windows, all toxic ones first; a
-fifth of the documents is held out, and the decision threshold is the smallest
-that keeps precision MIN_PRECISION there.
-
-Defined cases: null or empty texts score 0 and are not toxic; labels that are
-null are not used; with no labelled toxic (or no clean) document nothing is
-called toxic; a text of which no n-gram was met in fitting is not toxic; of
-rows that repeat an id each is scored by itself.
+their id, and of those at most MAX_WINDOWS windows, half of them of each class
+and drawn over all its documents in turn; a fifth of the documents is held out,
+and the decision threshold is the middle between the smallest score from which
+precision is MIN_PRECISION there and the next one, LEAST_SCORE at least.
+
+Defined cases: null or empty texts score 0 and are not toxic; texts of any
+length are scored whole; rows without an id are scored, with a null id; labels
+that are null are not used, and of several for one id the toxic one counts; with
+no labelled toxic (or no clean) document, or an empty table of labels, nothing is
+called toxic; a text of which no n-gram was met in fitting is not toxic; of rows
+that repeat an id each is scored by itself; scores equal to the threshold are
+toxic; other columns are ignored by toxic_documents and kept by without_toxic; an
+empty table of documents gives no row.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ EPOCHS, BATCH, RATE = 10, 64, 0.05
 FIT_BYTES = 1 << 17  # text that fitting holds as n-grams of 8 bytes at a time
 SMOOTH, SCALE = 100, 20.0  # means over hundreds of n-grams are small
 MIN_PRECISION = 0.95
+LEAST_SCORE = 0.3
 
 
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     last = good[-1]
     below = p[order][last + 1] if last + 1 < len(p) else 0.0
     unknown = 1 / (1 + np.exp(-np.clip(bias, -50, 50)))  # the score of a text of which nothing was met
-    return Model(weight, bias, float(max(np.clip((p[order][last] + below) / 2, 0.3, 0.9), unknown + 1e-6)))
+    return Model(weight, bias, float(max((p[order][last] + below) / 2, LEAST_SCORE, unknown + 1e-6)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
