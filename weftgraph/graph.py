@@ -22,6 +22,8 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     communities: DataFrame | None = None
+    known_ranked: DataFrame | None = None  # nodes with degree and cid, where they are stored so
+    known_both: DataFrame | None = None  # edges with the communities ca and cb of their ends
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -33,14 +35,42 @@ class Graph:
     @cached_property
     def degree(self) -> DataFrame:
         """(id, degree) of nodes that have an edge; a loop counts twice."""
+        if self.known_ranked is not None:
+            return self.known_ranked.filter("degree > 0").select("id", "degree")
         return self.ends.groupBy("id").agg(F.count("*").alias("degree"))
 
     @cached_property
     def ranked(self) -> DataFrame:
         """Nodes with their degree, 0 without an edge."""
+        if self.known_ranked is not None:
+            return self.known_ranked.select(*self.nodes.columns, "degree")
         return self.nodes.join(self.degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
 
     @cached_property
     def adjacency(self) -> DataFrame:
         """(id, other), distinct, both directions; a loop is its own neighbour once."""
         return self.ends.select("id", "other").distinct()
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Nodes with their degree and community; a null cid for those without."""
+        if self.known_ranked is not None:
+            return self.known_ranked
+        return self.ranked.join(self.communities.select(F.col("node_id").alias("id"), "cid"), "id", "left")
+
+    @cached_property
+    def crossing(self) -> DataFrame:
+        """(id, other, cid, far, ...): ends between nodes that have communities, from both sides."""
+        both = self.both
+        e = F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other"), F.col("ca").alias("cid"), F.col("cb").alias("far")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"), F.col("cb").alias("cid"), F.col("ca").alias("far"))))
+        rest = [c for c in self.edges.columns if c not in ("id", "other")]
+        return both.select(e.alias("_e"), *rest).select("_e.*", *rest)
+
+    @cached_property
+    def both(self) -> DataFrame:
+        """Edges with the communities ca and cb of their ends, null for an end without."""
+        if self.known_both is not None:
+            return self.known_both
+        c = self.communities
+        e = self.edges.join(c.select(F.col("node_id").alias("_a"), F.col("cid").alias("ca")), F.col("source") == F.col("_a"), "left")
+        return e.join(c.select(F.col("node_id").alias("_b"), F.col("cid").alias("cb")), F.col("target") == F.col("_b"), "left").drop("_a", "_b")

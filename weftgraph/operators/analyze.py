@@ -11,15 +11,15 @@ from weftgraph.graph import Graph
 from weftgraph.operators.metrics import cohesion
 
 
-def described_edges(g: Graph, communities: bool = True) -> DataFrame:
-    """Edges with label, source file, degree and community of both ends, as a_ and b_ columns."""
+def described_edges(g: Graph, communities: bool = True, keep: Column | None = None) -> DataFrame:
+    """Edges with label, source file, degree and community of both ends, as a_ and b_ columns; `keep` prunes by the edge's own columns, ca and cb before the joins."""
+    known = communities and g.communities is not None
+    e = g.both if known else g.edges.withColumns({"ca": F.lit(None).cast("bigint"), "cb": F.lit(None).cast("bigint")})
+    e = e.select("source", "target", "relation", "confidence", "src0", "spos", "tpos", F.col("ca").alias("a_cid"), F.col("cb").alias("b_cid"))
+    if keep is not None:
+        e = e.filter(keep)
     n = g.ranked.select("id", "label", "source_file", "degree")
-    if communities and g.communities is not None:
-        n = n.join(g.communities.withColumnRenamed("node_id", "id"), "id", "left")
-    else:
-        n = n.withColumn("cid", F.lit(None).cast("bigint"))
     side = lambda p: n.select(*[F.col(c).alias(f"{p}_{c}") for c in n.columns])
-    e = g.edges.select("source", "target", "relation", "confidence", "src0", "spos", "tpos")
     return e.join(side("a"), F.col("source") == F.col("a_id")).join(side("b"), F.col("target") == F.col("b_id"))
 
 
@@ -39,8 +39,8 @@ def surprises(g: Graph, top: int = 5) -> DataFrame:
     other communities, similarity (half as much again), a small node at a hub.
     Ties go by position.  Files, concepts and structural relations don't count.
     """
-    e = described_edges(g)
-    e = e.filter(~is_structural() & (F.col("a_source_file") != "") & (F.col("b_source_file") != "") & (F.col("a_source_file") != F.col("b_source_file")))
+    e = described_edges(g, keep=~is_structural())
+    e = e.filter((F.col("a_source_file") != "") & (F.col("b_source_file") != "") & (F.col("a_source_file") != F.col("b_source_file")))
     e = e.filter(~_file("a") & ~_file("b") & ~is_concept_node("a_source_file") & ~is_concept_node("b_source_file"))
     ka, kb = file_category(F.col("a_source_file")), file_category(F.col("b_source_file"))
     doubt = F.col("confidence").isin("AMBIGUOUS", "INFERRED")
@@ -73,7 +73,7 @@ def _number(df: DataFrame, order: list[Column], top: int) -> DataFrame:
 
 def cross_community(g: Graph, top: int = 5) -> DataFrame:
     """(rank, source, target, relation, confidence, why): for each pair of communities its most doubtful link; most doubtful pairs first."""
-    e = described_edges(g).filter(~is_structural() & (F.col("a_cid") != F.col("b_cid"))).filter(~_file("a") & ~_file("b"))
+    e = described_edges(g, keep=~is_structural() & (F.col("a_cid") != F.col("b_cid"))).filter(~_file("a") & ~_file("b"))
     order = [confidence_rank(), F.col("spos"), F.col("tpos")]
     e = e.withColumn("_n", F.row_number().over(Window.partitionBy(F.least("a_cid", "b_cid"), F.greatest("a_cid", "b_cid")).orderBy(*order))).filter("_n = 1")
     why = F.format_string("Bridges community %d → community %d", "a_cid", "b_cid")

@@ -10,12 +10,9 @@ from weftgraph.functions.text import two_digits
 from weftgraph.graph import Graph
 
 
-def with_communities(g: Graph, edges: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """Edges with the communities ca and cb of their ends."""
-    c = g.communities
-    e = g.edges if edges is None else edges
-    e = e.join(c.select(F.col("node_id").alias("_a"), F.col("cid").alias("ca")), F.col("source") == F.col("_a"), how)
-    return e.join(c.select(F.col("node_id").alias("_b"), F.col("cid").alias("cb")), F.col("target") == F.col("_b"), how).drop("_a", "_b")
+def with_communities(g: Graph) -> DataFrame:
+    """Edges with the communities ca and cb of their ends, both of which have one."""
+    return g.both.filter("ca is not null and cb is not null")
 
 
 def degree_variants(g: Graph) -> DataFrame:
@@ -67,7 +64,7 @@ def cohesion(g: Graph) -> DataFrame:
 
 def community_sizes(g: Graph) -> DataFrame:
     """(cid, members, proper, thin): proper members are no file nodes; one or two of them make a community thin."""
-    n = g.ranked.join(g.communities.withColumnRenamed("node_id", "id"), "id")
+    n = g.placed.filter("cid is not null")
     out = n.groupBy("cid").agg(F.count("*").alias("members"), F.count_if(~is_file_node()).alias("proper"))
     return out.withColumn("thin", F.col("proper").between(1, 2))
 
@@ -85,9 +82,7 @@ def pair_weights(g: Graph) -> DataFrame:
 
 def bridges(g: Graph, top: int = 5) -> DataFrame:
     """(cid, rank, id, reach, degree): the nodes of each community that reach most other ones."""
-    c = g.communities
-    e = g.ends.join(c.select(F.col("node_id").alias("_a"), "cid"), F.col("id") == F.col("_a")).join(c.select(F.col("node_id").alias("_b"), F.col("cid").alias("far")), F.col("other") == F.col("_b"))
-    reach = e.groupBy("cid", "id").agg(F.countDistinct(F.when(F.col("far") != F.col("cid"), F.col("far"))).alias("reach"), F.count("*").alias("degree")).filter("reach > 0")
+    reach = g.crossing.filter("cid is not null and far is not null").groupBy("cid", "id").agg(F.countDistinct(F.when(F.col("far") != F.col("cid"), F.col("far"))).alias("reach"), F.count("*").alias("degree")).filter("reach > 0")
     w = Window.partitionBy("cid").orderBy(F.desc("reach"), F.desc("degree"), "id")
     return reach.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("cid", "rank", "id", "reach", "degree")
 
@@ -98,7 +93,7 @@ def overview(g: Graph, preview: int = 3) -> DataFrame:
     inner = both.filter("ca = cb").groupBy(F.col("ca").alias("cid")).agg(F.count("*").alias("inner"))
     side = F.explode(F.array("ca", "cb"))
     cross = both.filter("ca <> cb").select(side.alias("cid")).groupBy("cid").agg(F.count("*").alias("cross"))
-    n = g.ranked.join(g.communities.withColumnRenamed("node_id", "id"), "id")
+    n = g.placed.filter("cid is not null")
     w = Window.partitionBy("cid").orderBy(F.desc("degree"), "id")
     top = n.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= preview).groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]), "; ").alias("preview"))
     out = g.communities.groupBy("cid").agg(F.count("*").alias("members")).join(inner, "cid", "left").join(cross, "cid", "left").join(top, "cid", "left")
@@ -118,19 +113,17 @@ def audit(g: Graph) -> DataFrame:
 
     Confidences count over pairs of a member and a neighbour.
     """
-    c = g.communities
-    e = g.ends.join(c.select(F.col("node_id").alias("_a"), "cid"), F.col("id") == F.col("_a")).join(c.select(F.col("node_id").alias("_b"), F.col("cid").alias("far")), F.col("other") == F.col("_b"), "left")
+    e = g.crossing.filter("cid is not null")
     n = F.col("confidence")
     conf = e.groupBy("cid").agg(F.count_if(n == "EXTRACTED").alias("extracted"), F.count_if(n == "INFERRED").alias("inferred"), F.count_if(n == "AMBIGUOUS").alias("ambiguous"), F.count_if(F.col("far") != F.col("cid")).alias("cross"))
-    src = g.nodes.join(c.withColumnRenamed("node_id", "id"), "id").groupBy("cid").agg(F.countDistinct(F.when(F.col("source_file") != "", F.col("source_file"))).alias("sources"))
+    src = g.placed.filter("cid is not null").groupBy("cid").agg(F.countDistinct(F.when(F.col("source_file") != "", F.col("source_file"))).alias("sources"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("bigint")).alias(x)
     return src.join(conf, "cid", "left").select("cid", *map(zero, ("extracted", "inferred", "ambiguous", "cross")), "sources")
 
 
 def modularity(g: Graph) -> DataFrame:
     """One row (edges, within, modularity): the sum of L_c / m - (d_c / 2m)^2, unweighted; null without edges."""
-    c = g.communities.withColumnRenamed("node_id", "id")
-    d = g.degree.join(c, "id").groupBy("cid").agg(F.sum("degree").alias("d"))
+    d = g.placed.filter("cid is not null and degree > 0").groupBy("cid").agg(F.sum("degree").alias("d"))
     e = with_communities(g).filter("ca = cb").groupBy(F.col("ca").alias("cid")).agg(F.count("*").alias("l"))
     m = g.edges.agg(F.count("*").cast("double").alias("m"))
     parts = d.join(e, "cid", "left").crossJoin(m)

@@ -69,6 +69,10 @@ def graph_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     slug = r"lower(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
     q["graph_normalize"] = BASE + " select source, target, relation, confidence, weight, spos, tpos from edges"
+    hand = slug.format("{}")
+    q["slug_repair"] = BASE + f""", r AS (select *, upper(s0[1])||lower(replace(s0, '_', ' ')[2:]) hs, case when k1 % 5 = 0 then 'no '||t0 else upper(replace(t0, '_', '--')) end ht from fx_raw where kind in (2, 3)),
+m AS (select a.id source, b.id target, r.*, a.ord spos, b.ord tpos from r join fx_nodes a on {hand.format('a.id')} = {hand.format('hs')} join fx_nodes b on {hand.format('b.id')} = {hand.format('ht')})
+select source, target, hs src0, ht tgt0, relation, spos, tpos from m qualify row_number() over (partition by source, target order by kind desc, k1 desc) = 1"""
     q["degree"] = BASE + " select id, degree from deg"
     q["god_nodes"] = BASE + f" select id, label, degree from ranked where not {file_node()} and not {concept()} order by degree desc, ord limit 10"
     q["god_nodes_query"] = BASE + f", near AS (select id, count(distinct other) degree from ends group by id), r AS (select n.* , coalesce(near.degree, 0) degree from fx_nodes n left join near using (id)) select id, label, degree from r where not ({file_node()} and source_file <> '') and not {concept()} order by degree desc, id limit 10"

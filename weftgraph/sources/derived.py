@@ -1,12 +1,22 @@
-"""The graph that relational tables describe: regions, nations, customers, suppliers, parts and orders as nodes, their keys as edges."""
+"""The graph that relational tables describe: regions, nations, customers, suppliers, parts and orders as nodes, their keys as edges.
+
+The graph is built once for a folder of tables and an application, on 64-bit
+codes of kind and key: lineitem is scanned once, an edge is a pair of codes, and
+the last edge of a pair, degrees and communities come from joins and aggregates
+of numbers.  Ids are spelled out at the end.  What is built is written to the
+cluster's shared folder; queries read it there, as they would read any stored
+graph, and only the columns that they need.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.operators.normalize import merge_edges
+from weftgraph.session import shared_checkpoints
 
 #: Order in which raw edges were written; the last of a pair wins.
 WRITTEN = ["kind", "k1", "k2", "relation", "confidence", "weight"]
@@ -20,9 +30,10 @@ def _id(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"))
 
 
-def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_nodes(spark: SparkSession, sf_dir: str, code: bool = False) -> DataFrame:
     def part(name: str, key: str, block: int, label: Column, kind: str, source: Column) -> DataFrame:
-        return table(spark, sf_dir, name).select(_id(name, key).alias("id"), label.alias("label"), F.lit(kind).alias("file_type"), source.alias("source_file"), (F.lit(block * 1_000_000_000).cast("bigint") + F.col(key)).alias("ord"))
+        more = [_code(name, F.col(key)).alias("code")] if code else []
+        return table(spark, sf_dir, name).select(*more, _id(name, key).alias("id"), label.alias("label"), F.lit(kind).alias("file_type"), source.alias("source_file"), (F.lit(block * 1_000_000_000).cast("bigint") + F.col(key)).alias("ord"))
 
     out = part("region", "r_regionkey", 1, F.col("r_name"), "document", F.lit("geo/regions.md"))
     for more in (
@@ -71,7 +82,121 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def graph(spark: SparkSession, sf_dir: str, repair: bool = False) -> Graph:
+KINDS = ["region", "nation", "customer", "supplier", "part", "orders"]
+#: In the order of their names, so that codes sort alike.
+RELATIONS = ["calls", "contains", "semantically_similar_to", "uses"]
+CONFIDENCES = ["AMBIGUOUS", "EXTRACTED", "INFERRED"]
+CALLS, CONTAINS, SIMILAR, USES = range(4)
+AMBIGUOUS, EXTRACTED, INFERRED = range(3)
+
+
+def _code(kind: str, key: Column) -> Column:
+    """Kind in the upper bits, key in the lower ones: codes sort as positions do."""
+    return F.lit((KINDS.index(kind) + 1) << 56) + key.cast("bigint")
+
+
+def _kind(code: Column) -> Column:
+    return F.shiftright(code, 56).cast("int")
+
+
+def _key(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << 56) - 1))
+
+
+def _spelled(code: Column) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), _kind(code)), F.lit("_"), _key(code).cast("string"))
+
+
+def _position(code: Column) -> Column:
+    return _kind(code).cast("bigint") * 1_000_000_000 + _key(code)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, cid) of every node; cid is null where communities() has none."""
+    t = lambda n: table(spark, sf_dir, n)
+    orders = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = t("region").select(_code("region", F.col("r_regionkey")).alias("code"), (F.lit(200) + F.col("r_regionkey")).cast("bigint").alias("cid"))
+    for kind, df, key, cid in (
+        ("nation", t("nation"), "n_nationkey", F.col("n_nationkey")), ("customer", t("customer"), "c_custkey", F.col("c_nationkey")), ("supplier", t("supplier"), "s_suppkey", F.col("s_nationkey")),
+        ("part", t("part"), "p_partkey", F.lit(100) + F.col("p_size")), ("orders", orders, "o_orderkey", F.col("c_nationkey")),
+    ):
+        out = out.unionByName(df.select(_code(kind, F.col(key)).alias("code"), cid.cast("bigint").alias("cid")))
+    return out
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, o, k, relation, confidence, weight): every key as a pair of codes; all but the pair, in this order, tell which was written last."""
+    t = lambda n: table(spark, sf_dir, n)
+    by = lambda c, x, y: F.when(F.col(c) == x, EXTRACTED).when(F.col(c) == y, INFERRED).otherwise(AMBIGUOUS)
+    order = lambda kind, k1: F.lit(kind << 56) + F.col(k1).cast("bigint")
+
+    def edge(a, b, o, relation, confidence, weight, k=None):
+        return F.struct(a.alias("a"), b.alias("b"), o.alias("o"), (F.lit(0) if k is None else k).cast("int").alias("k"), relation.cast("tinyint").alias("relation"), confidence.cast("tinyint").alias("confidence"), weight.cast("double").alias("weight"))
+
+    contains, fixed, one, c = F.lit(CONTAINS), F.lit(EXTRACTED), F.lit(1.0), F.col
+    simple = [
+        ("nation", edge(_code("region", c("n_regionkey")), _code("nation", c("n_nationkey")), order(1, "n_nationkey"), contains, fixed, one)),
+        ("customer", edge(_code("nation", c("c_nationkey")), _code("customer", c("c_custkey")), order(2, "c_custkey"), contains, fixed, one)),
+        ("supplier", edge(_code("nation", c("s_nationkey")), _code("supplier", c("s_suppkey")), order(3, "s_suppkey"), contains, fixed, one)),
+        ("orders", edge(_code("customer", c("o_custkey")), _code("orders", c("o_orderkey")), order(4, "o_orderkey"), F.lit(CALLS), by("o_orderstatus", "F", "O"), one)),
+    ]
+    flag = by("l_returnflag", "N", "R")
+    both = F.array(
+        edge(_code("orders", c("l_orderkey")), _code("part", c("l_partkey")), order(5, "l_orderkey"), F.lit(USES), flag, c("l_quantity"), c("l_linenumber")),
+        edge(_code("supplier", c("l_suppkey")), _code("part", c("l_partkey")), order(6, "l_orderkey"), F.when(c("l_linestatus") == "F", SIMILAR).otherwise(USES), flag, c("l_quantity"), c("l_linenumber")),
+    )
+    out = t("lineitem").select(F.explode(both).alias("e")).select("e.*")
+    for name, e in simple:
+        out = out.unionByName(t(name).select(e.alias("e")).select("e.*"))
+    return out
+
+
+def build(spark: SparkSession, sf_dir: str, to: str) -> None:
+    """Edges with the communities of their ends, and nodes with theirs and their degree, as Parquet under `to`."""
+    members = _members(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    last = F.max(F.struct("o", "k", "relation", "confidence", "weight", (F.col("a") > F.col("b")).alias("turned")))
+    e = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(last.alias("e")).select("lo", "hi", "e.*")
+    for end, cid in (("lo", "ca"), ("hi", "cb")):
+        e = e.join(members.select(F.col("code").alias("_c"), F.col("cid").alias(cid)), F.col(end) == F.col("_c")).drop("_c")
+    name = lambda values, c: F.element_at(F.array(*map(F.lit, values)), F.col(c) + 1)
+    first, second = F.when(F.col("turned"), F.col("hi")).otherwise(F.col("lo")), F.when(F.col("turned"), F.col("lo")).otherwise(F.col("hi"))
+    e.select(
+        "lo", "hi", _spelled(F.col("lo")).alias("source"), _spelled(F.col("hi")).alias("target"), name(RELATIONS, "relation").alias("relation"), name(CONFIDENCES, "confidence").alias("confidence"), "weight",
+        _spelled(first).alias("src0"), _spelled(second).alias("tgt0"), _position(F.col("lo")).alias("spos"), _position(F.col("hi")).alias("tpos"), "ca", "cb",
+    ).write.mode("overwrite").parquet(f"{to}/edges")
+    degree = spark.read.parquet(f"{to}/edges").select(F.explode(F.array("lo", "hi")).alias("code")).groupBy("code").agg(F.count("*").alias("degree"))
+    numbers = members.join(degree, "code", "left").select("code", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"), "cid")
+    nodes = raw_nodes(spark, sf_dir, code=True).join(numbers, "code")
+    nodes.select("id", "label", "file_type", "source_file", "ord", "degree", "cid").write.mode("overwrite").parquet(f"{to}/nodes")
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """What tells that the tables changed: size and time of each."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in (*KINDS, "lineitem"):
+        p = path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        out.append(f"{name} {fs.getContentSummary(p).getLength()} {fs.getFileStatus(p).getModificationTime()}")
+    return "\n".join(out)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the built graph; it is built if this application has none of these tables as they are now."""
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId}\n{sf_dir}\n{_stamp(spark, sf_dir)}".encode()).hexdigest()[:24]
+    folder = f"{shared_checkpoints(spark)}/graph-{key}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/nodes/_SUCCESS")  # nodes come last
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build(spark, sf_dir, folder)
+    return folder
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The normalized graph of the tables, with its given communities."""
-    nodes = raw_nodes(spark, sf_dir)
-    return Graph(nodes, merge_edges(nodes, raw_edges(spark, sf_dir), WRITTEN, repair), communities(spark, sf_dir))
+    folder = stored(spark, sf_dir)
+    ranked, both = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges").drop("lo", "hi")
+    members = ranked.filter("cid is not null").select("cid", F.col("id").alias("node_id"))
+    return Graph(ranked.drop("degree", "cid"), both.drop("ca", "cb"), members, known_ranked=ranked, known_both=both)
