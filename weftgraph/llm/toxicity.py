@@ -44,7 +44,7 @@ BUCKETS, SIZES, DIM = 1 << 18, (3, 4, 5), 4  # the training packs a bucket into
 WINDOW = 32
 MAX_LABELLED, MAX_WINDOWS = 4000, 40000
 EPOCHS, BATCH, RATE = 10, 64, 0.05
-FIT_BYTES = 1 << 17  # text that fitting holds as n-grams of 8 bytes at a time
+FIT_BYTES = 1 << 17  # text held as n-grams of 8 bytes at a time
 SMOOTH, SCALE = 100, 20.0  # means over hundreds of n-grams are small
 MIN_PRECISION = 0.95
 LEAST_SCORE = 0.3
@@ -106,7 +106,7 @@ class Model:
     def score(self, column: pa.Array) -> np.ndarray:
         """The highest toxic probability of any window, for each row."""
         out = np.zeros(len(column))
-        for at, piece in K.pieces(column):
+        for at, piece in K.pieces(column, FIT_BYTES):
             bucket, window, edge = subwords(piece)
             total = int(edge[-1])
             if total:
