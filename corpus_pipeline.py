@@ -11,7 +11,15 @@ stage's docs.  All but the last keep the columns of documents.
   packing          documents are packed into rows of tokens, with certificates
 
 Null ids or texts: such rows pass the filters unchanged and aren't packed.
-Empty tables pass through as empty results.
+Repeated rows: each is judged by itself, but of rows with one id and equal or
+near texts all stay or go together in ngram_jaccard, and each is packed.  Ties
+go to the smaller id.  Texts of any length are read whole.  Other columns, with
+whatever names, are kept up to packing; n_chars follows a redacted text if it
+holds integers.  Empty tables pass through as empty results.
+
+Intermediate tables lie in the shared folder of spark.checkpoint.dir and are
+removed once the next stage is written; the last one is the result's own and
+stays as long as the folder does.
 """
 
 from __future__ import annotations

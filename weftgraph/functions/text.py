@@ -41,6 +41,22 @@ def xml_escape(x: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, x)
 
 
+def html_escape(x: Column) -> Column:
+    pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, x)
+
+
+def script_safe(json: Column) -> Column:
+    """JSON that may stand inside a script element: no tag can end there, no line separator splits a string."""
+    pairs = (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, json)
+
+
+def percent_escape(x: Column) -> Column:
+    """Bytes of UTF-8 as %XX, all but letters, digits and - _ . ~ (a form encoder differs on blanks, * and ~)."""
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("+", "%20"), ("*", "%2A"), ("%7E", "~")), F.url_encode(x))
+
+
 def svg_escape(x: Column) -> Column:
     return F.replace(xml_escape(x), F.lit("&apos;"), F.lit("&#39;"))
 
@@ -270,3 +286,37 @@ PALETTE = ["#1F5AA6", "#D9822B", "#B83A4B", "#3B8F8A", "#5E8C31", "#C9A227", "#7
 def colour(cid: Column) -> Column:
     """A colour of ten by community; nodes without one count as community 0."""
     return F.element_at(F.array(*map(F.lit, PALETTE)), (F.coalesce(cid, F.lit(0)) % 10 + 1).cast("int"))
+
+
+def utc_stamp(seconds: Column) -> Column:
+    """2024-03-01T12:00:00Z of seconds since 1970, whatever the session's zone is."""
+    return F.date_format(_utc(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def utc_date(seconds: Column) -> Column:
+    return F.date_format(_utc(seconds), "yyyy-MM-dd")
+
+
+def utc_file_stamp(seconds: Column) -> Column:
+    """20240301_120000, as it may stand in a file's name."""
+    return F.date_format(_utc(seconds), "yyyyMMdd_HHmmss")
+
+
+def _utc(seconds: Column) -> Column:
+    day = F.floor(seconds / F.lit(86400)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), day).cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(seconds, F.lit(86400)))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without `.` and with `..` taken back, as far as there is something to take; no file is looked at."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+    go = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(F.aggregate(parts, empty, go), "/"))
+
+
+def resolve_import(file: Column, module: Column) -> Column:
+    """The path that a relative import means from a file's folder, `.js` read as `.ts` and `.jsx` as `.tsx`; other modules keep their last part."""
+    there = F.regexp_replace(F.regexp_replace(module, r"\.js$", ".ts"), r"\.jsx$", ".tsx")
+    folder = F.when(file.contains("/"), F.regexp_replace(file, "/[^/]*$", "/")).otherwise(F.lit(""))
+    return F.when(module.startswith("."), normal_path(F.concat(folder, there))).otherwise(F.substring_index(module, "/", -1))

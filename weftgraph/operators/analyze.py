@@ -80,6 +80,12 @@ def cross_community(g: Graph, top: int = 5) -> DataFrame:
     return _number(e, order, top).select("rank", _shown("a_label", "b_label").alias("source"), _shown("b_label", "a_label").alias("target"), "relation", "confidence", why.alias("why"))
 
 
+def connections(g: Graph, top: int = 5) -> DataFrame:
+    """(rank, source, target, relation, confidence, why): surprises where nodes come from several files, else links between communities."""
+    several = g.nodes.filter("source_file <> ''").select("source_file").distinct().limit(2).count() > 1
+    return (surprises(g, top).drop("score") if several else cross_community(g, top)).select("rank", "source", "target", "relation", "confidence", "why")
+
+
 def by_betweenness(g: Graph, top: int = 5, most_nodes: int = 5000) -> DataFrame:
     """(rank, source, target, relation, score) of the links that most shortest paths use; nothing for graphs beyond most_nodes."""
     from weftgraph.operators.centrality import edge_betweenness

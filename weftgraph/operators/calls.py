@@ -34,6 +34,23 @@ def method_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return unique(m.select(F.concat("owner", F.lit("::"), "method").alias("key"), F.col("target_id").alias("target")), "key", "target")
 
 
+def calls_in_files(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """(source, target, relation, confidence, weight, ord) of calls whose callee is named in the caller's own file; the last label of a name, the first known key of a callee, one edge a pair."""
+    named = nodes.select("source_file", lookup_name(F.col("label")).alias("key"), F.col("id").alias("target"), "ord").filter("key is not null and source_file <> ''")
+    index = first_wins(named, ["source_file", "key"], [F.desc("ord")]).select("source_file", "key", "target")
+    keys = calls.select("caller", "source_file", "ord", F.posexplode(call_keys(F.col("callee"))).alias("at", "key"))
+    hit = keys.join(index, ["source_file", "key"]).groupBy("caller", "ord").agg(F.min_by("target", "at").alias("target")).filter("caller <> target")
+    one = hit.groupBy("caller", "target").agg(F.min("ord").alias("ord"))
+    return one.select(F.col("caller").alias("source"), "target", F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("weight"), "ord")
+
+
+def receiver_targets(calls: DataFrame, returns: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call, caller, ord, target) of calls f().m() by the one type that f returns and the one method m there."""
+    types = unique(returns.select(lookup_name(F.col("function_name")).alias("fn"), lookup_name(F.col("return_type_name")).alias("type")), "fn", "type")
+    by = calls.withColumn("fn", lookup_name(F.col("receiver"))).join(types, "fn")
+    return by.withColumn("key", F.concat("type", F.lit("::"), lookup_name(F.element_at(F.split("callee", r"::|->|[./]"), -1)))).join(methods, "key").select("call", "caller", "ord", "target")
+
+
 def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """(source, target, relation, confidence, confidence_score, weight) of calls whose callee is a node's name.
 
@@ -48,9 +65,7 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, returns:
     found = hit.select("call", "caller", "ord", "target")
     if returns is not None:
         rest = c.filter("receiver is not null").join(found.select("call"), "call", "left_anti")
-        types = unique(returns.select(lookup_name(F.col("function_name")).alias("fn"), lookup_name(F.col("return_type_name")).alias("type")), "fn", "type")
-        by = rest.withColumn("fn", lookup_name(F.col("receiver"))).join(types, "fn").withColumn("key", F.concat("type", F.lit("::"), lookup_name(F.col("callee"))))
-        found = found.unionByName(by.join(method_index(nodes, edges), "key").select("call", "caller", "ord", "target"))
+        found = found.unionByName(receiver_targets(rest, returns, method_index(nodes, edges)))
     found = found.filter("caller <> target")
     have = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
     new = found.join(have, (F.col("caller") == F.col("_s")) & (F.col("target") == F.col("_t")), "left_anti")

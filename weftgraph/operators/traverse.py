@@ -85,28 +85,32 @@ def dfs(g: Graph, start: list[str], depth: int) -> DataFrame:
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(walk, "id string, at long")
 
 
-def path(g: Graph, a: str, b: str, most: int = 64) -> list[str] | None:
-    """Ids along a shortest path from a to b, or None: levels from a until b is met, then parents back."""
+def path(g: Graph, a: str, b: str) -> list[str] | None:
+    """Ids along a shortest path from a to b, of any length, or None: levels from a until b is met, then parents back.
+
+    Each level is written by itself; a node's parent is its neighbour of the
+    level before with the smallest id.  Walking back reads one row of each level.
+    """
     if a == b:
         return [a]
-    shared_checkpoints(g.nodes.sparkSession)
     spark = g.nodes.sparkSession
-    near = g.adjacency.filter("id <> other").checkpoint()
-    seen = spark.createDataFrame([(a, 0, None)], "id string, level int, parent string")
-    for level in range(1, most + 1):
-        front = seen.filter(F.col("level") == level - 1).select("id")
-        found = near.join(front, "id").groupBy(F.col("other").alias("nid")).agg(F.min("id").alias("parent"))
-        new = found.join(seen.select(F.col("id").alias("_s")), F.col("nid") == F.col("_s"), "left_anti").select(F.col("nid").alias("id"), F.lit(level).alias("level"), "parent")
-        new = new.checkpoint()
-        if new.isEmpty():
+    shared_checkpoints(spark)
+    near = g.adjacency.filter("id <> other")
+    levels = [spark.createDataFrame([(a, None)], "id string, parent string")]
+    seen = levels[0].select("id")
+    while True:
+        found = near.join(levels[-1].select("id"), "id").groupBy(F.col("other").alias("nid")).agg(F.min("id").alias("parent"))
+        new = found.join(seen.select(F.col("id").alias("_s")), F.col("nid") == F.col("_s"), "left_anti").select(F.col("nid").alias("id"), "parent").checkpoint()
+        met = new.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == b, F.col("parent"))).alias("parent")).head()
+        if not met["n"]:
             return None
-        seen = seen.unionByName(new).checkpoint()
-        if not new.filter(F.col("id") == b).isEmpty():
-            out = [b]
-            while out[-1] != a:
-                out.append(seen.filter(F.col("id") == out[-1]).select("parent").head()[0])
+        if met["parent"] is not None:
+            out = [b, met["parent"]]
+            for level in reversed(levels[1:]):
+                out.append(level.filter(F.col("id") == out[-1]).head()["parent"])
             return out[::-1]
-    return None
+        levels.append(new)
+        seen = seen.unionByName(new.select("id"))
 
 
 def find_node(g: Graph, label: str, top: int = 1) -> DataFrame:

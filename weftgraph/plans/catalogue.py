@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import analyze, metrics, normalize, traverse
-from weftgraph.plans import exports, oracle, texts
+from weftgraph.plans import exports, more, oracle, texts
 from weftgraph.sources.derived import WRITTEN, graph, raw_edges, raw_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,8 +146,8 @@ def queries() -> dict[str, Query]:
         "label_dedup": label_dedup,
         "preserved_semantics": preserved_semantics,
     }
-    return out | texts.queries() | exports.queries()
+    return out | texts.queries() | exports.queries() | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.graph_sql() | texts.sql() | exports.sql()
+    return oracle.graph_sql() | texts.sql() | exports.sql() | more.sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph
+from weftgraph.functions.text import PALETTE
 from weftgraph.operators import analyze, centrality, cluster, export, query
 from weftgraph.plans.oracle import BASE
 from weftgraph.sources.derived import graph, raw_nodes
@@ -19,26 +19,16 @@ def _of(f):
     return lambda spark, sf_dir: f(graph(spark, sf_dir))
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> Graph:
-    """Regions, nations and suppliers, which make a forest."""
-    g = graph(spark, sf_dir)
-    kinds = "^(region|nation|supplier)_"
-    return Graph(g.nodes.filter(F.col("id").rlike(kinds)), g.edges.filter(F.col("source").rlike(kinds) & F.col("target").rlike(kinds)), g.communities.filter(F.col("node_id").rlike(kinds)))
-
-
-def betweenness_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.node_betweenness(_forest(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
-
-
-def betweenness_edges_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.edge_betweenness(_forest(spark, sf_dir)).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.round("score", 9).alias("score"))
-
-
 def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node's betweenness from 100 roots."""
     return centrality.node_betweenness(graph(spark, sf_dir), 100)
 
 
+def betweenness_edges_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge's betweenness from 100 roots."""
+    return centrality.edge_betweenness(graph(spark, sf_dir), 100)
+
+
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.communities(graph(spark, sf_dir))
 
@@ -48,11 +38,11 @@ def vault_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.benchmark(graph(spark, sf_dir), ["which supplier serves region europe", "customer building orders"], depth=1)
+    return query.benchmark(graph(spark, sf_dir), ["which supplier serves region europe", "customer building orders"])
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.questions(_forest(spark, sf_dir))
+    return analyze.questions(graph(spark, sf_dir))
 
 
 def queries():
@@ -67,8 +57,7 @@ def queries():
         "canvas_edges": _of(export.canvas_edges),
         "wiki_articles": _of(export.wiki_articles),
         "svg_nodes": _of(export.svg_nodes),
-        "betweenness_forest": betweenness_forest,
-        "betweenness_edges_forest": betweenness_edges_forest,
+        "betweenness_edges_sampled": betweenness_edges_sampled,
         "betweenness_sampled": betweenness_sampled,
         "communities": communities,
         "questions": questions,
@@ -80,13 +69,21 @@ def sql():
     nodes = BASE + " select * from fx_nodes"
     q = lambda c: f"''''||replace(replace({c}, '\\', '\\\\'), '''', '\\''')||''''"
     x = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-    forest = """, t AS (select id, regexp_matches(id, '^(region|nation|supplier)_') ok from fx_nodes), fe AS (select source a, target b from edges where source in (select id from t where ok) and target in (select id from t where ok)),
-two AS (select a, b from fe union all select b, a from fe), n AS (select id from t where ok), cnt AS (select count(*)::double n from n)"""
-    # In a forest of regions, nations and suppliers the pairs whose path crosses a node follow from the sizes of the parts that it separates.
-    forest += """, sup AS (select a nation, count(*) k from fe where b like 'supplier%' group by a), nat AS (select f.a region, f.b nation, coalesce(k, 0) + 1 size from fe f left join sup on sup.nation = f.b where f.a like 'region%'), reg AS (select region, sum(size) total from nat group by region)"""
-    between = """ select id, round(coalesce(case when id like 'region%' then (select (total * total - sum(size * size)) / 2.0 from nat join reg using (region) where region = id group by total)
- when id like 'nation%' then (select (size - 1) * (total + 1 - size) + (size - 1) * (size - 2) / 2.0 from nat join reg using (region) where nation = id) else 0 end, 0) * 2.0 / ((n - 1) * (n - 2)), 9)::double score from n, cnt"""
-    edge_between = """ select least(a, b) a, greatest(a, b) b, round((case when a like 'region%' then (select size * (total + 1 - size) from nat join reg using (region) where nation = b) else (select total from nat join reg using (region) where nation = a) end)::double * 2.0 / (n * (n - 1)), 9)::double score from fe, cnt"""
+    colours = "[" + ", ".join(f"'{c}'" for c in PALETTE) + "]"
+    parts, rows = [], []
+    for k, words in enumerate((["which", "supplier", "serves", "region", "europe"], ["customer", "building", "orders"])):
+        score = " + ".join(f"contains(lower(label), '{w}')::int * 2 + contains(lower(source_file), '{w}')::int" for w in words)
+        parts.append(f"q{k}_0 AS (select id, null::varchar parent from (select id, {score} score from fx_nodes) where score > 0 order by score desc, id desc limit 3)")
+        for level in (1, 2, 3):
+            before = " union all ".join(f"select id from q{k}_{j}" for j in range(level))
+            parts.append(f"q{k}_{level} AS MATERIALIZED (select other id, min(near.id) parent from near join q{k}_{level - 1} f on f.id = near.id where other not in ({before}) group by other)")
+        seen = " union all ".join(f"select * from q{k}_{j}" for j in range(4))
+        parts.append(f"""q{k} AS MATERIALIZED ({seen}), b{k} AS (select sum(octet_length(encode(line)) + 1) b from (
+select 'NODE '||label||' [src='||source_file||' loc= community='||coalesce(cid::varchar, '')||']' line from q{k} join fx_nodes using (id) left join comm on node_id = id
+union all select 'EDGE '||a.label||' --'||e.relation||' ['||e.confidence||']--> '||b.label from q{k} v join fx_nodes a on a.id = v.parent join fx_nodes b on b.id = v.id join edges e on e.source = case when a.ord < b.ord then a.id else b.id end and e.target = case when a.ord < b.ord then b.id else a.id end))""")
+        question = ("which supplier serves region europe", "customer building orders")[k]
+        rows.append(f"select '{question}' question, corpus corpus_tokens, greatest(1, (b::bigint - 1) // 4) query_tokens from b{k}, c where b > 0")
+    tokens = BASE + ", near AS MATERIALIZED (select distinct id, other from ends where id <> other), c AS (select (count(*) * 50) * 100 // 75 corpus from fx_nodes), " + ",\n".join(parts) + ", r AS (" + " union all ".join(rows) + ") select question, corpus_tokens::int corpus_tokens, query_tokens::bigint query_tokens, round(corpus_tokens::double / query_tokens * 10) / 10 reduction from r"
     return {
         "node_link_nodes": BASE + " select id, label, lower(label) norm_label, file_type, source_file, cid community from fx_nodes left join comm on node_id = id",
         "node_link_links": BASE + " select source, target, relation, confidence, round(weight, 6) weight, case confidence when 'INFERRED' then 0.5 when 'AMBIGUOUS' then 0.2 else 1.0 end::double confidence_score from edges",
@@ -102,6 +99,6 @@ select cid, col, "row", col * 680 x, y, 600 width, height from b join y using ("
         "wiki_articles": BASE + """, a AS (select cid, 'node' part, row_number() over (partition by cid order by degree desc, id)::int rank, id "value", degree n from ranked join comm on node_id = id qualify rank <= 25),
 x AS (select a.cid, b.cid far, count(*) n from ends e join comm a on a.node_id = e.id join comm b on b.node_id = e.other where a.cid <> b.cid group by all)
 select * from a union all (select cid, 'link', row_number() over (partition by cid order by n desc, far)::int rank, far::varchar, n from x qualify rank <= 12)""",
-        "betweenness_forest": BASE + forest + between,
-        "betweenness_edges_forest": BASE + forest + edge_between,
+        "svg_nodes": BASE + f", a AS (select r.*, cid, row_number() over (order by ord, id) - 1 k, max(degree) over () most from ranked r left join comm on node_id = r.id) select id, k % 40 * 120 x, k // 40 * 120 y, round(18.0::double + degree * 24.0::double / greatest(most, 1), 1) r, {colours}[(coalesce(cid, 0) % 10 + 1)::int] fill from a",
+        "token_benchmark": tokens,
     }

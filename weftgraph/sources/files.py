@@ -6,16 +6,20 @@ import fnmatch
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from weftgraph.functions import text as T
 
 #: From these many words a graph pays; beyond the second, or that many files, a warning is due.
+OUT = "kg-out"  # results, which aren't scanned; answers saved there are listed by their own folder
 GRAPH_WORDS, MANY_WORDS, MANY_FILES = 50_000, 500_000, 200
 
 
@@ -26,16 +30,27 @@ def ignore_regex(patterns: list[str]) -> str:
     return r"(?s)(^|/)(" + "|".join(one) + r")(/|$)" if one else "(?!)"
 
 
+def ignore_patterns(root: str | Path, name: str = ".kgignore") -> list[str]:
+    """Lines of the ignore files of a folder and of those above it, up to the root of its repository."""
+    out: list[str] = []
+    for folder in (Path(root).resolve(), *Path(root).resolve().parents):
+        if (folder / name).is_file():
+            out += (folder / name).read_text(errors="replace").splitlines()
+        if (folder / ".git").exists():
+            break
+    return out
+
+
 def listing(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """(path, size, mtime, content) below a folder, without hidden, noise, lock, secret and ignored files; paths are relative.
 
     Filters touch paths only, so the content of what they drop isn't read.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
     path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     df = df.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"), "content")
     p = F.col("path")
-    keep = ~T.is_hidden(p) & ~T.in_noise_folder(p) & ~T.is_lock_file(p) & ~T.is_sensitive(p)
+    keep = ~p.startswith(f"{OUT}/") & ~T.is_hidden(p) & ~T.in_noise_folder(p) & ~T.is_lock_file(p) & ~T.is_sensitive(p)
     return df.filter(keep & ~p.rlike(ignore_regex(ignore or [])))
 
 
@@ -48,8 +63,20 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     df = listing(spark, root, ignore)
     plain = F.when(F.lower("path").rlike(r"\.(md|mdx|html|txt|rst)$"), decoded(F.col("content")))
     kind = T.file_type(F.col("path"), plain)
-    counted = ~F.lower("path").rlike(r"\.(docx|xlsx|pdf)$") & kind.isin("code", "document", "paper")
-    return df.select("path", kind.alias("file_type"), F.when(counted, T.word_count(decoded(F.col("content")))).otherwise(0).alias("words"), "size", "mtime").filter("file_type is not null")
+    office = F.lower("path").rlike(r"\.(docx|xlsx|pdf)$")
+    counted = ~office & kind.isin("code", "document", "paper")
+    return df.select("path", kind.alias("file_type"), F.when(counted, T.word_count(decoded(F.col("content")))).when(office, _office_words("path", "content")).otherwise(0).alias("words"), "size", "mtime").filter("file_type is not null")
+
+
+@F.pandas_udf(IntegerType())
+def _office_words(path: pd.Series, content: pd.Series) -> pd.Series:
+    """Words of office files and PDFs; other files, whose content isn't needed, count none."""
+    return pd.Series([len(bytes_text(p, c).split()) if p.lower().endswith((".docx", ".xlsx", ".pdf")) else 0 for p, c in zip(path, content)], dtype="int32")
+
+
+def bytes_text(path: str, data: bytes) -> str:
+    end = path.lower().rsplit(".", 1)[-1]
+    return docx_text(data) if end == "docx" else xlsx_text(data) if end == "xlsx" else pdf_text(data)
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -59,6 +86,11 @@ def summary(files: DataFrame) -> DataFrame:
     return t.select("files", "words", (F.col("words") >= GRAPH_WORDS).alias("needs_graph"), warning.alias("warning"))
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """(file_type, files, words) of each type."""
+    return files.groupBy("file_type").agg(F.count("*").alias("files"), F.sum("words").cast("bigint").alias("words")).orderBy("file_type")
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -112,12 +144,54 @@ def xlsx_text(data: bytes) -> str:
         return ""
 
 
+_OPS = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>|T[Jj*dDm']|\bET\b|[\[\]]|-?\d+(?:\.\d+)?")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_text(data: bytes) -> str:
+    """What the text operators of a PDF's content streams show, plain or deflated, in simple encodings; a file that can't be read gives the empty text.
+
+    Fonts with encodings of their own, encrypted files and scans have none.
+    """
+    if not data.startswith(b"%PDF"):
+        return ""
+    out = []
+    for m in re.finditer(rb"<<(.{0,2000}?)>>\s*stream\r?\n", data, re.S):
+        end = data.find(b"endstream", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        if b"FlateDecode" in m[1]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        if b"BT" not in body:
+            continue
+        said: list[str] = []
+        for op in _OPS.findall(body):
+            if op[:1] == b"(":
+                raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda x: bytes([int(x[1], 8) & 255]) if x[1].isdigit() else _ESCAPES.get(x[1], x[1]), op[1:-1], flags=re.S)
+                said.append(raw.decode("latin-1"))
+            elif op[:1] == b"<":
+                digits = re.sub(rb"\s", b"", op[1:-1])
+                said.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
+            elif op in (b"T*", b"Td", b"TD", b"Tm", b"'", b"ET"):
+                said.append("\n")
+            elif re.fullmatch(rb"-\d+(?:\.\d+)?", op) and float(op) < -200:
+                said.append(" ")  # a wide gap within a line
+        text = re.sub(r"\n{2,}", "\n", "".join(said)).strip()
+        if text:
+            out.append(text)
+    return "\n\n".join(out)
+
+
 def office_texts(files: DataFrame) -> DataFrame:
     """(path, sidecar, text) of the office files of a listing; the sidecar's name ends with eight digits of the path's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "text": [docx_text(c) if p.lower().endswith(".docx") else xlsx_text(c) for p, c in zip(b["path"], b["content"])]})
+            yield pd.DataFrame({"path": b["path"], "text": [bytes_text(p, c) for p, c in zip(b["path"], b["content"])]})
 
     out = files.filter(F.lower("path").rlike(r"\.(docx|xlsx)$")).select("path", "content").mapInPandas(run, "path string, text string")
     stem = F.regexp_replace(T.basename(F.col("path")), r"\.[^.]*$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,12 @@ def read_json(spark: SparkSession, path: str) -> Graph:
     return Graph(nodes.drop("community"), edges, nodes.select(cid.alias("cid"), F.col("id").alias("node_id")).filter("cid is not null"))
 
 
+def repo_tag(path: str) -> str:
+    """The name of the folder two above a graph's file, as results lie in a folder of a repository; else of the one above."""
+    parts = Path(path).resolve().parts
+    return parts[-3] if len(parts) >= 4 else parts[-2]
+
+
 def write_parquet(g: Graph, path: str) -> None:
     """Nodes by community, so that one community reads few files, with edges and communities beside them."""
     n = g.nodes.join(g.communities.withColumnRenamed("node_id", "id"), "id", "left") if g.communities is not None else g.nodes.withColumn("cid", F.lit(None).cast("bigint"))
