@@ -285,7 +285,7 @@ def near_copies(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
-    """docs without the documents of which a near copy with a smaller id stays; rows without id or text stay."""
+    """docs without the documents of which a near copy with a smaller id stays; rows without id or text stay, and rows that share an id stay or go together, by the one that counts."""
     shared_checkpoints(docs.sparkSession)
     pairs = B.cut(jaccard_join(docs, n, threshold).select("doc_a", "doc_b", "jaccard"))
     # Equal sets: either their representative stays, or what stays for it is as near to them.

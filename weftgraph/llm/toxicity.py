@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     p, y = model.score(pa.array(ref["text"].tolist(), pa.large_string())), ref["label"].to_numpy()
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= MIN_PRECISION)
+    ends = np.concatenate([p[order][1:] != p[order][:-1], [True]])  # a threshold can't part equal scores
+    good = np.flatnonzero(ends & (right >= MIN_PRECISION))
     if not len(good):
         return none
     last = good[-1]
