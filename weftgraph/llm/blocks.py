@@ -6,10 +6,11 @@ substring chaining, suffix arrays) follow one plan:
 1. ``postings``: each task hashes its texts into features and writes them as
    packed byte blocks, one per hash bucket and some million words.  A block
    costs the JVM one row, so no feature ever becomes a Spark row.
-2. ``links``: each bucket sorts its features; the documents of a feature are
+2. ``linked``: each bucket sorts its features; the documents of a feature are
    linked to the smallest of them, its anchor, and on demand to the one before
    them too.  This takes as many links as there are postings, or twice as many,
-   never a square of a group's size.
+   never a square of a group's size.  Beyond SHARE documents a bucket is split
+   into shares of the documents, so that a feature of them all fits a task.
 3. ``regroup``: links are summed for each document; the caller's rule keeps
    the anchors that matter.  Whether its bounds lose a result is the caller's
    matter, and is stated there.
@@ -48,8 +49,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
-def postings(docs: DataFrame, feature: Feature, buckets: int) -> DataFrame:
-    """Packed features of texts(docs): (bucket, n, docs, data).
+#: Documents of a share.  A task sees the holders of a feature in one share, so a feature of all documents has so many postings there at most.
+SHARE = 8_000_000
+
+
+def shares(docs: DataFrame, per: int = SHARE) -> int:
+    """Shares that the documents fall into by the hash of their id; only the column of ids is read."""
+    return max(1, -(-docs.select("doc_id").count() // per))
+
+
+def postings(docs: DataFrame, feature: Feature, buckets: int, split: int = 1) -> DataFrame:
+    """Packed features of texts(docs): (bucket, data), bucket = hash bucket * split + share of the document.
 
     feature(words) gives (hashes, rows).  A block holds the ids and feature
     counts of its documents, and, sorted, 32 bits of hash with the document's
@@ -62,13 +72,21 @@ def postings(docs: DataFrame, feature: Feature, buckets: int) -> DataFrame:
         row = np.concatenate(rows).astype(U64)
         h = np.concatenate(hashes)
         bucket = (h >> U64(32)) % U64(buckets)
-        key = np.sort(((h & U64(0xFFFFFFFF)) << U64(16)) | row | (bucket << U64(48)))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        size = np.bincount((key & U64(0xFFFF)).astype(np.int64), minlength=len(doc))
-        cut = np.searchsorted(key, np.arange(buckets + 1, dtype=U64) << U64(48))
+        if split > 1:
+            bucket = bucket * U64(split) + (K.mix(doc.astype(U64) ^ U64(0x51A2E)) % U64(split))[row.astype(np.int64)]
+        low = ((h & U64(0xFFFFFFFF)) << U64(16)) | row
+        if buckets * split <= 0xFFFF:  # all in one word
+            key = K.distinct(low | (bucket << U64(48)))
+            bucket, low = (key >> U64(48)).astype(np.int64), key & U64(0xFFFFFFFFFFFF)
+        else:
+            order = np.lexsort((low, bucket))
+            bucket, low = bucket[order].astype(np.int64), low[order]
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])])
+            bucket, low = bucket[new], low[new]
+        size = np.bincount((low & U64(0xFFFF)).astype(np.int64), minlength=len(doc))
         out = []
-        for b in range(buckets):
-            part = key[cut[b] : cut[b + 1]]
+        for s, e in zip(*_runs(bucket)):
+            b, part = int(bucket[s]), low[s:e]
             if len(part):
                 mine = (part & U64(0xFFFF)).astype(np.int64)
                 used = np.flatnonzero(np.bincount(mine, minlength=len(doc)))
@@ -121,47 +139,122 @@ def unpack(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(where), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
 
 
-def links(posted: DataFrame, targets: int, before: bool = False) -> DataFrame:
-    """(target, data): for each bucket, packed (document, anchor, number of shared features, features of the document and of the anchor).
+def linked(docs: DataFrame, feature: Feature, split: int, before: bool = False) -> DataFrame:
+    """(target, data): packed (document, anchor, number of shared features, features of the document and of the anchor).
 
     The anchor is the smallest id among the documents of a feature, and is
     linked to itself.  Features of a single document make no link.  If `before`,
-    each document is also linked to the next smaller id of the feature, and no
-    document to itself.
+    each document is also linked to the next smaller id of the feature in its
+    share, and no document to itself.
+
+    With several shares the smallest holders of the shares are gathered first,
+    one for each feature and share, and each share's links are made with the
+    smallest of all; so no task sees more holders of a feature than a share has.
     """
+    parts = partitions(docs)
+    posted = postings(docs, feature, parts, split)
+    if split == 1:
+        return posted.groupBy("bucket").applyInArrow(lambda t: _links(t, None, parts, before), _LINKS)
+    least = posted.groupBy("bucket").applyInArrow(lambda t: _least(t, split), "low int, data binary")
+    known = least.groupBy("low").applyInArrow(_smallest, "low int, data binary")
+    known = known.select(F.explode(F.sequence(F.col("low") * split, F.col("low") * split + (split - 1))).alias("bucket"), "data")
+    return posted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda t, k: _links(t, k, parts, before), _LINKS)
 
-    def run(table: pa.Table) -> pa.Table:
-        h, where, ids, sizes = unpack(table.column("data").to_pylist())
-        known, number = np.unique(ids, return_inverse=True)
-        least_size = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least_size, number, sizes)
-        key = K.distinct((h << U64(32)) | number[where].astype(U64))  # by hash, then id
-        doc = (key & U64(0xFFFFFFFF)).astype(np.int64)
-        top = key >> U64(32)
-        first = np.concatenate([[True], top[1:] != top[:-1]]) if len(top) else np.zeros(0, bool)
-        start = np.flatnonzero(first)
-        length = np.diff(np.concatenate([start, [len(top)]]))
+
+_LINKS = "target int, data binary"
+
+
+def _holders(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document's place in ids) sorted and distinct, ids ascending, and their sizes."""
+    h, where, ids, sizes = unpack(table.column("data").to_pylist())
+    known, number = np.unique(ids, return_inverse=True)
+    size = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(size, number, sizes)
+    key = K.distinct((h << U64(32)) | number[where].astype(U64))
+    return key >> U64(32), (key & U64(0xFFFFFFFF)).astype(np.int64), known, size
+
+
+def _firsts(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a hash is met first, where each run begins)."""
+    first = np.concatenate([[True], top[1:] != top[:-1]]) if len(top) else np.zeros(0, bool)
+    return first, np.flatnonzero(first)
+
+
+def _least(table: pa.Table, split: int) -> pa.Table:
+    """The smallest holder of each feature in a share, its size, and whether there are more."""
+    if not table.num_rows:
+        return pa.table({"low": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+    top, doc, ids, size = _holders(table)
+    _, start = _firsts(top)
+    more = np.diff(np.concatenate([start, [len(top)]])) > 1
+    return _known(int(table.column("bucket")[0].as_py()) // split, top[start], ids[doc[start]], size[doc[start]], more)
+
+
+def _known(low: int, top: np.ndarray, ids: np.ndarray, size: np.ndarray, more: np.ndarray) -> pa.Table:
+    body = np.uint32(len(top)).tobytes() + K.plane(top.astype(np.uint32)) + K.plane(ids) + K.plane(size.astype(np.uint32)) + more.astype(np.uint8).tobytes()
+    return pa.table({"low": pa.array([low], pa.int32()), "data": pa.array([body], pa.binary())})
+
+
+def _read_known(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    cols: list[list] = [[], [], [], []]
+    for b in blocks:
+        m, at = int(np.frombuffer(b, np.uint32, count=1)[0]), 4
+        for c, kind in zip(cols, (np.uint32, np.int64, np.uint32, np.uint8)):
+            n = m * np.dtype(kind).itemsize
+            c.append(K.unplane(b[at : at + n], m, kind))
+            at += n
+    top, ids, size, more = (np.concatenate(c) for c in cols)
+    return top.astype(U64), ids, size.astype(np.int64), more > 0
+
+
+def _smallest(table: pa.Table) -> pa.Table:
+    """Of a bucket's features that more than one document holds, the smallest holder over all shares."""
+    top, ids, size, more = _read_known(table.column("data").to_pylist())
+    order = np.lexsort((ids, top))
+    top, ids, size, more = top[order], ids[order], size[order], more[order]
+    _, start = _firsts(top)
+    shared = (np.diff(np.concatenate([start, [len(top)]])) > 1) | np.maximum.reduceat(more, start)
+    start = start[shared]
+    return _known(int(table.column("low")[0].as_py()), top[start], ids[start], size[start], more[start])
+
+
+def _links(table: pa.Table, least: pa.Table | None, targets: int, before: bool) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({"target": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+    top, doc, known, size = _holders(table)
+    first, start = _firsts(top)
+    length = np.diff(np.concatenate([start, [len(top)]]))
+    if least is None:
         shared = np.repeat(length > 1, length)
-        anchor = np.repeat(doc[start], length) if len(start) else doc
-        pair = (doc[shared].astype(U64) << U64(32)) | anchor[shared].astype(U64)
-        if before:
-            later = np.flatnonzero(~first)
-            near = doc[later - 1]
-            apart = near != anchor[later]
-            pair = np.concatenate([(doc[later].astype(U64) << U64(32)) | anchor[later].astype(U64), (doc[later].astype(U64) << U64(32))[apart] | near[apart].astype(U64)])
-        pair, n = np.unique(pair, return_counts=True)
-        d, a = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
-        target = (K.mix(known.astype(U64)) % U64(targets)).astype(np.int64)[d] if len(d) else d
-        order = np.argsort(target, kind="stable")
-        d, a, n, target = d[order], a[order], n[order], target[order]
-        out_t, out_b = [], []
-        for s, e in zip(*_runs(target)):
-            m = e - s
-            out_t.append(int(target[s]))
-            out_b.append(np.uint32(m).tobytes() + K.plane(known[d[s:e]]) + K.plane(known[a[s:e]]) + K.plane(n[s:e].astype(np.uint32)) + K.plane(least_size[d[s:e]].astype(np.uint32)) + K.plane(least_size[a[s:e]].astype(np.uint32)))
-        return pa.table({"target": pa.array(out_t, pa.int32()), "data": pa.array(out_b, pa.binary())})
-
-    return posted.groupBy("bucket").applyInArrow(run, "target int, data binary")
+        anchor = known[np.repeat(doc[start], length)] if len(start) else doc
+        of = size[np.repeat(doc[start], length)] if len(start) else doc
+    else:
+        keys, ids, sizes, _ = _read_known(least.column("data").to_pylist()) if least.num_rows else (top[:0], known[:0], size[:0], None)
+        place = np.minimum(np.searchsorted(keys, top), max(len(keys) - 1, 0))
+        shared = keys[place] == top if len(keys) else np.zeros(len(top), bool)
+        anchor, of = (ids[place], sizes[place]) if len(keys) else (top.astype(np.int64), top.astype(np.int64))
+    if before:
+        later = np.flatnonzero(shared & (known[doc] != anchor))
+        near = np.flatnonzero(~first)
+        near = near[known[doc[near - 1]] != anchor[near]]
+        d = np.concatenate([doc[later], doc[near]])
+        a, of = np.concatenate([anchor[later], known[doc[near - 1]]]), np.concatenate([of[later], size[doc[near - 1]]])
+    else:
+        d, a, of = doc[shared], anchor[shared], of[shared]
+    names, number = np.unique(a, return_inverse=True)
+    far = np.zeros(len(names), np.int64)
+    far[number] = of
+    pair, n = np.unique((d.astype(U64) << U64(32)) | number.astype(U64), return_counts=True)
+    d, a = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+    target = (K.mix(known.astype(U64)) % U64(targets)).astype(np.int64)[d] if len(d) else d
+    order = np.argsort(target, kind="stable")
+    d, a, n, target = d[order], a[order], n[order], target[order]
+    out_t, out_b = [], []
+    for s, e in zip(*_runs(target)):
+        m = e - s
+        out_t.append(int(target[s]))
+        out_b.append(np.uint32(m).tobytes() + K.plane(known[d[s:e]]) + K.plane(names[a[s:e]]) + K.plane(n[s:e].astype(np.uint32)) + K.plane(size[d[s:e]].astype(np.uint32)) + K.plane(far[a[s:e]].astype(np.uint32)))
+    return pa.table({"target": pa.array(out_t, pa.int32()), "data": pa.array(out_b, pa.binary())})
 
 
 def _runs(a: np.ndarray) -> tuple[list, list]:

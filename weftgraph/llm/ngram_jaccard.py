@@ -224,12 +224,12 @@ def _roots(seen: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> n
         low = new
 
 
-def _met(docs: DataFrame, n: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+def _met(docs: DataFrame, n: int, threshold: float, most: int, share: int) -> tuple[DataFrame, DataFrame]:
     """(cells of documents to compare, (doc_id, set_id, size) of the documents that equal a smaller one)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must lie in (0, 1] and n be positive")
     shared_checkpoints(docs.sparkSession)
-    docs, parts = B.texts(docs), B.partitions(docs)
+    split, docs, parts = B.shares(docs, share), B.texts(docs), B.partitions(docs)
     each = B.cut(digests(docs, n))
     many = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("c")).filter("c > 1")
     copies = each.join(many, ["d1", "d2"]).filter("doc_id > set_id").select("doc_id", "set_id", "size")
@@ -239,22 +239,22 @@ def _met(docs: DataFrame, n: int, threshold: float, most: int) -> tuple[DataFram
         h, row, _ = K.ngrams(words, n)
         return h, row
 
-    kept = B.regroup(B.links(B.postings(docs, feature, parts), parts), _keep(threshold))
+    kept = B.regroup(B.linked(docs, feature, split), _keep(threshold))
     kept = B.cut(kept.join(copies.select("doc_id"), "doc_id", "left_anti"))
     return B.gather(docs, B.exploded(kept), 4 * parts, most), copies
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST, share: int = B.SHARE) -> DataFrame:
     """Pairs of documents whose word n-gram sets have Jaccard >= threshold (see the module's text)."""
-    met, copies = _met(docs, n, threshold, most)
+    met, copies = _met(docs, n, threshold, most, share)
     found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, True), SCHEMA)
     size = F.col("size")
     return found.unionByName(copies.select(F.col("set_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("overlap"), size.alias("size_a"), size.alias("size_b"), F.lit(1.0).alias("jaccard")))
 
 
-def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = B.MOST, share: int = B.SHARE) -> DataFrame:
     """(doc_id, class_id, set_id, links) of each document with a partner (see the module's text)."""
-    met, copies = _met(docs, n, threshold, most)
+    met, copies = _met(docs, n, threshold, most, share)
     found = met.groupBy(*B.CELL).applyInArrow(lambda t: compare(t, n, threshold, False), "doc_id long, other long, links long")
     found = B.cut(found)
     part = connected(found.filter("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))

@@ -213,10 +213,10 @@ def repeats(table: pa.Table, depth: int, unit: int) -> pa.Table:
     return pa.table({"doc_id": d[new], "start": p[new], "end": p[last] + depth, "match_doc": np.minimum.reduceat(m, new)})
 
 
-def _spans(docs: DataFrame, min_words: int, unit: int, most: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, unit: int, most: int, split: int) -> DataFrame:
     parts = B.partitions(docs)
     every = lambda doc, anchor, n, size: n >= 1
-    link = B.exploded(B.cut(B.regroup(B.links(B.postings(docs, seeds(SEED_K, WINDOW), parts), parts), every)))
+    link = B.exploded(B.cut(B.regroup(B.linked(docs, seeds(SEED_K, WINDOW), split), every)))
     hot = link.groupBy("anchor").agg(F.sum("size").alias("w")).filter(F.col("w") > most).select("anchor").checkpoint()
     run = lambda t: repeats(t, min_words, unit)
     schema = "doc_id long, start long, end long, match_doc long"
@@ -224,17 +224,17 @@ def _spans(docs: DataFrame, min_words: int, unit: int, most: int) -> DataFrame:
         return B.gather(docs, link, 4 * parts, most).groupBy(*B.CELL).applyInArrow(run, schema)
     cold = link.join(hot, "anchor", "left_anti")
     crowd = docs.join(link.join(hot, "anchor", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-    whole = B.cut(B.regroup(B.links(B.postings(crowd, seeds(min_words, 1), parts), parts), every))
+    whole = B.cut(B.regroup(B.linked(crowd, seeds(min_words, 1), split), every))
     star = B.gather(docs, B.exploded(whole), 4 * parts, most * (WINDOW + 1) // 2, star=True).groupBy(*B.CELL).applyInArrow(run, schema)
     return B.gather(docs, cold, 4 * parts, most).groupBy(*B.CELL).applyInArrow(run, schema).unionByName(star)
 
 
-def long_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = BATCH_WORDS, most: int = MOST) -> DataFrame:
+def long_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = BATCH_WORDS, most: int = MOST, share: int = B.SHARE) -> DataFrame:
     """Parts of documents, of min_words or more, that earlier documents hold (see the module's text)."""
     if min_words < SEED_K + WINDOW - 1:
         raise ValueError(f"min_words must be at least {SEED_K + WINDOW - 1}: shorter repeats may share no seed")
     shared_checkpoints(docs.sparkSession)
-    spans = _spans(B.texts(docs), min_words, unit, most)
+    spans = _spans(B.texts(docs), min_words, unit, most, B.shares(docs, share))
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = spans.withColumn("far", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     run = reach.withColumn("run", F.sum(F.when(F.col("start") <= F.col("far"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
