@@ -37,6 +37,12 @@ def starts(g: Graph, words: list[str], top: int) -> DataFrame:
     return search(g, words).orderBy(F.desc("score"), F.desc("id")).limit(top).withColumn("rank", F.row_number().over(w))
 
 
+def _near(g: Graph, again: bool) -> DataFrame:
+    """(id, other) of all edges from both ends, repeated ones too; a graph that is read from storage is read again at each level, another is written once."""
+    near = g.ends.select("id", "other").filter("id <> other")
+    return near if g.known_both is not None or not again else near.checkpoint()
+
+
 def ball(g: Graph, start: DataFrame, depth: int) -> DataFrame:
     """(id, level, parent): nodes within `depth` steps of the start ids, each at its first level.
 
@@ -44,10 +50,8 @@ def ball(g: Graph, start: DataFrame, depth: int) -> DataFrame:
     that the tree doesn't depend on partitions.
     """
     shared_checkpoints(start.sparkSession)
-    near = g.adjacency.filter("id <> other")
+    near = _near(g, depth > 1)
     seen = start.select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")).checkpoint()
-    if depth > 1:
-        near = near.checkpoint()
     for level in range(1, depth + 1):
         front = seen.filter(F.col("level") == level - 1).select("id")
         found = near.join(front, "id").groupBy(F.col("other").alias("nid")).agg(F.min("id").alias("parent"))
@@ -58,15 +62,22 @@ def ball(g: Graph, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def dfs(g: Graph, start: list[str], depth: int) -> DataFrame:
+#: Nodes that a depth-first walk may have to choose from.
+MOST_WALKED = 2_000_000
+
+
+def dfs(g: Graph, start: list[str], depth: int, most: int = MOST_WALKED) -> DataFrame:
     """(id, at): nodes in the order of a depth-first walk with a stack, neighbours by id.
 
     The walk is sequential by nature; the ball of the same depth bounds it, and
-    only that part of the graph comes to the one task that walks.
+    only that part of the graph comes to the one task that walks.  A ball of
+    over `most` nodes is refused: ask for less depth, or for the ball.
     """
     spark = g.nodes.sparkSession
     s = spark.createDataFrame([(x,) for x in start], "id string").join(g.nodes.select("id"), "id", "left_semi")
-    within = ball(g, s, depth).select("id")
+    within = ball(g, s, depth).select("id").checkpoint()
+    if within.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} nodes lie within {depth} steps; a depth-first walk of so many isn't made")
     part = g.adjacency.filter("id <> other").join(within, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("near"))
     rows = within.join(part, "id", "left")
 
@@ -95,7 +106,7 @@ def path(g: Graph, a: str, b: str) -> list[str] | None:
         return [a]
     spark = g.nodes.sparkSession
     shared_checkpoints(spark)
-    near = g.adjacency.filter("id <> other")
+    near = _near(g, True)
     levels = [spark.createDataFrame([(a, None)], "id string, parent string")]
     seen = levels[0].select("id")
     while True:

@@ -97,7 +97,7 @@ r AS (select "row", max(height) h from b group by "row"), y AS (select "row", su
 select cid, col, "row", col * 680 x, y, 600 width, height from b join y using ("row")""",
         "canvas_edges": BASE + " select source, target, relation, weight from edges order by weight desc, spos, tpos limit 200",
         "wiki_articles": BASE + """, a AS (select cid, 'node' part, row_number() over (partition by cid order by degree desc, id)::int rank, id "value", degree n from ranked join comm on node_id = id qualify rank <= 25),
-x AS (select a.cid, b.cid far, count(*) n from ends e join comm a on a.node_id = e.id join comm b on b.node_id = e.other where a.cid <> b.cid group by all)
+h AS MATERIALIZED (select a.cid, e.other from ends e join comm a on a.node_id = e.id), f AS MATERIALIZED (select h.cid, b.cid far from h join comm b on b.node_id = h.other), x AS (select cid, far, count(*) n from f where cid <> far group by all)
 select * from a union all (select cid, 'link', row_number() over (partition by cid order by n desc, far)::int rank, far::varchar, n from x qualify rank <= 12)""",
         "svg_nodes": BASE + f", a AS (select r.*, cid, row_number() over (order by ord, id) - 1 k, max(degree) over () most from ranked r left join comm on node_id = r.id) select id, k % 40 * 120 x, k // 40 * 120 y, round(18.0::double + degree * 24.0::double / greatest(most, 1), 1) r, {colours}[(coalesce(cid, 0) % 10 + 1)::int] fill from a",
         "token_benchmark": tokens,

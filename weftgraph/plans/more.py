@@ -175,8 +175,8 @@ select 0::int part, -coalesce(d.degree, 0) "at", n.id "key", 'NODE '||n.label||'
 union all select 1, lv, v.parent||'|'||v.id, 'EDGE '||a.label||' --'||e.relation||' ['||e.confidence||']--> '||b.label from v join fx_nodes a on a.id = v.parent join fx_nodes b on b.id = v.id join edges e on least(e.source, e.target) = least(v.id, v.parent) and greatest(e.source, e.target) = greatest(v.id, v.parent)""",
         "node_merge": BASE + ", u AS (select id, label, ord from fx_nodes union all select id, upper(label), ord + 10000000000 from fx_nodes where ord % 3 <> 0 union all select id, label||'!', ord + 20000000000 from fx_nodes where ord % 5 = 0) select id, arg_max(label, ord) label, min(ord) ord from u group by id",
         "label_merge_edges": BASE + f""", n AS (select id, ord, case when id like 'part%' then 'Type '||(p_size % 7)::varchar else label end label from fx_nodes left join part on id = 'part_'||p_partkey::varchar), k AS (select id, ord, {slug.format('label')} s from n), g AS (select *, case when s <> '' then 's'||s else 'i'||id end key from k),
-o AS (select *, ord = min(ord) over (partition by key) or not contains(id, '_chunk') ok from g), b AS (select key, arg_min(id, (octet_length(encode(id)), ord)) filter (where ok) keep from o group by key), m AS MATERIALIZED (select id, keep from o join b using (key))
-select a.keep source, b.keep target, relation, weight, spos, tpos from edges e join m a on a.id = e.source join m b on b.id = e.target where a.keep <> b.keep""",
+o AS (select *, ord = min(ord) over (partition by key) or not contains(id, '_chunk') ok from g), b AS (select key, arg_min(id, (octet_length(encode(id)), ord)) filter (where ok) keep from o group by key), m AS MATERIALIZED (select id, keep from o join b using (key)), x AS MATERIALIZED (select a.keep ks, e.target t, relation, weight, spos, tpos from edges e join m a on a.id = e.source),
+y AS MATERIALIZED (select ks, b.keep kt, relation, weight, spos, tpos from x join m b on b.id = t) select ks source, kt target, relation, weight, spos, tpos from y where ks <> kt""",
         "receiver_calls": "WITH m AS (select s_nationkey n, s_suppkey % 13 k, min(s_suppkey) s, count(*) c from supplier group by all having count(*) = 1) select 'c_'||c_custkey::varchar source, 'm_'||s::varchar target from customer join m on n = c_nationkey and k = c_custkey % 17",
         "label_forms": f"""select p_partkey, substr(p_name||' a/b: c', 1, 256) clean, replace(replace(replace(p_name||'/x: y', '/', '-'), ' ', '_'), ':', '-') wiki, format('{{:,}}', p_partkey * 12345) thousands, regexp_replace(regexp_replace(printf('%.2f', p_partkey * 1000 / 8.0::double), '0+$', ''), '\\.$', '') trimmed,
 [{COLOURS}][(p_size % 10 + 1)::int] colour, '{{"a": '||p_size||'}}' body, '&lt;b title=&quot;x&quot;&gt;&amp;&#39;'||p_name html, {percent} "percent", p_partkey % 3 < 2 "lock" from part""",

@@ -50,9 +50,10 @@ def concept(p: str = "") -> str:
 
 STRUCT = "relation in ('imports', 'imports_from', 'contains', 'method')"
 RANK = "case confidence when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 else 2 end"
-DESC = """described AS (
-select e.source, e.target, e.relation, e.confidence, e.s0, e.spos, e.tpos, a.label a_label, a.source_file a_source_file, a.degree a_degree, b.label b_label, b.source_file b_source_file, b.degree b_degree, x.cid a_cid, y.cid b_cid
-from edges e join ranked a on a.id = e.source join ranked b on b.id = e.target left join comm x on x.node_id = e.source left join comm y on y.node_id = e.target)"""
+DESC = """one_side AS MATERIALIZED (select e.*, a.label a_label, a.source_file a_source_file, a.degree a_degree from edges e join ranked a on a.id = e.source),
+two_sides AS MATERIALIZED (select e.*, b.label b_label, b.source_file b_source_file, b.degree b_degree from one_side e join ranked b on b.id = e.target),
+one_cid AS MATERIALIZED (select e.*, x.cid a_cid from two_sides e left join comm x on x.node_id = e.source),
+described AS MATERIALIZED (select e.source, e.target, relation, confidence, s0, spos, tpos, a_label, a_source_file, a_degree, b_label, b_source_file, b_degree, a_cid, y.cid b_cid from one_cid e left join comm y on y.node_id = e.target)"""
 
 
 def _cat(p: str) -> str:
