@@ -171,7 +171,8 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> str | None:
         manifest = files.load_manifest(spark, a.manifest) if Path(a.manifest).exists() else spark.createDataFrame([], "path string, mtime double")
         return json.dumps({r["state"]: sorted(r["paths"]) for r in watch.incremental(found, manifest).groupBy("state").agg(F.collect_list("path").alias("paths")).collect()}, indent=2)
     if name == "extract":
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(a.paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(a.paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), files.decoded(F.col("content")).alias("text"))
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin("py", *extract.LANGUAGES))
         n, e = extract.code_graph(extract.extract(rows))
         return json.dumps({"nodes": _json(n.orderBy("ord")), "edges": _json(e.orderBy("ord"))}, indent=2)
     if name == "merge-graphs":

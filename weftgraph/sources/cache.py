@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.files import file_hash
+from weftgraph.sources.files import decoded, file_hash
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,7 +39,7 @@ def through(files: DataFrame, path: str, extract: Callable[[DataFrame], DataFram
     keyed = files.select("path", "content", file_hash(F.col("content"), F.col("path")).alias("hash"))
     have = read(spark, path)
     missed = keyed if have is None else keyed.join(have.select("hash").distinct(), "hash", "left_anti")
-    fresh = extract(missed.select("path", F.decode("content", "UTF-8").alias("text"))).join(missed.select(F.col("path").alias("_p"), "hash"), F.col("path") == F.col("_p")).drop("_p")
+    fresh = extract(missed.select("path", decoded(F.col("content")).alias("text"))).join(missed.select(F.col("path").alias("_p"), "hash"), F.col("path") == F.col("_p")).drop("_p")
     append(fresh, path)
     return read(spark, path).join(keyed.select("hash"), "hash", "left_semi").drop("hash", "prefix")
 

@@ -55,7 +55,8 @@ def listing(spark: SparkSession, root: str, ignore: list[str] | None = None) ->
 
 
 def decoded(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    """Bytes as text; what is no UTF-8 becomes the replacement sign, as a scan meets files of every kind."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
