@@ -207,6 +207,13 @@ def test_stream_fires_within_its_debounce(spark, tmp_path):
     assert seen == [2]  # the heartbeat six seconds later closed the session
 
 
+def test_each_root_folder_has_its_own_quiet(spark):
+    rows = [("x", "a.py", "2024-01-01 00:00:00", "code"), ("y", "b.md", "2024-01-01 00:00:01", "document"), ("x", "c.py", "2024-01-01 00:00:02", "code")]
+    df = spark.createDataFrame(rows, "root string, path string, ts string, file_type string").selectExpr("root", "path", "cast(ts as timestamp) ts", "file_type")
+    assert sorted((r["root"], r["changes"], r["action"]) for r in watch.debounced(df).collect()) == [("x", 2, "rebuild"), ("y", 1, "flag")]
+    assert [(r["changes"], r["action"]) for r in watch.debounced(df.drop("root")).collect()] == [(3, "flag")]
+
+
 def test_urls_and_paths_are_guarded(tmp_path):
     to = lambda *ips: lambda h, p: list(ips)
     assert guards.check_url("HTTPS://example.org:8080/a?b=1", to("93.184.216.34")) == ("example.org", "/a?b=1")

@@ -106,7 +106,7 @@ def test_python_extraction():
     edges = {(x["source"], x["target"], x["relation"]) for x in r if x["part"] == "edge"}
     calls_ = {(x["source"], x["callee"], x["receiver"]) for x in r if x["part"] == "call"}
     assert nodes["m_a"] == "A" and nodes["m_a_go"] == ".go()" and nodes["m_helper"] == "helper()" and nodes["pkg_m_py"] == "m.py"
-    assert {("pkg_m_py", "m_a", "contains"), ("m_a", "m_a_go", "method"), ("m_a", "m_base", "inherits"), ("pkg_m_py", "os_path", "imports"), ("pkg_m_py", "m_a_size", "contains")} <= edges
+    assert {("pkg_m_py", "m_a", "contains"), ("m_a", "m_a_go", "method"), ("m_a", "base", "inherits"), ("pkg_m_py", "os_path", "imports"), ("pkg_m_py", "m_a_size", "contains")} <= edges
     assert ("m_a_go", "helper", None) in calls_ and ("m_a_go", "run", "make") in calls_
     assert any(t == "m_a" and k == "rationale_for" for _, t, k in edges) and extract.extract_file("x.py", "def (")[1:] == []
 

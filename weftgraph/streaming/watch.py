@@ -41,14 +41,18 @@ def debounced(changes: DataFrame, seconds: float = 3.0, keys: list[str] | None =
     """(keys, start, end, changes, files, action): changes (path, ts, file_type) gathered until `seconds` pass without one.
 
     Action is `flag` if any change isn't code, else `rebuild`.  On a stream a
-    watermark, `late` behind the latest change, closes the sessions, and without
-    keys each root folder has its own; a batch is handled alike without one.
+    watermark, `late` behind the latest change, closes the sessions; a batch is
+    handled alike without one.  Without keys, changes with a column `root` are
+    gathered for each root folder, which spreads them over tasks, and others
+    belong to one folder, whose changes make one sequence.
     Rows without a path are heartbeats: they move the time on and count nothing.
     """
     df = changes.withWatermark("ts", late) if changes.isStreaming else changes
     df = df.filter(F.when(F.col("path").isNotNull(), F.col("ts")).isNotNull())  # names ts, so that it stays behind the watermark
+    if not keys and "root" in changes.columns:
+        keys = ["root"]
     if changes.isStreaming and not keys:
-        df = df.withColumn("_all", F.substring_index("path", "/", 1))  # streams need a key beside the window
+        df = df.withColumn("_all", F.pmod(F.hash("path"), F.lit(1)))  # streams need a key beside the window; one folder has one sequence, and this is always 0
     w = F.session_window("ts", f"{int(seconds * 1000)} milliseconds").alias("w")
     out = df.groupBy(*(keys or (["_all"] if changes.isStreaming else [])), w).agg(F.count("*").alias("changes"), F.approx_count_distinct("path").alias("files") if changes.isStreaming else F.countDistinct("path").alias("files"), F.max((F.col("file_type") != "code").cast("int")).alias("other"))
     return out.select(*(keys or []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", "files", action(F.col("other") == 1).alias("action"))
@@ -58,11 +62,11 @@ def action(other_than_code: Column) -> Column:
     return F.when(other_than_code, F.lit("flag")).otherwise(F.lit("rebuild"))
 
 
-def with_heartbeat(changes: DataFrame, every: str = "1 second") -> DataFrame:
-    """A stream of changes (path, ts, file_type) with a row without a path now and then, so that time goes on when nothing changes."""
+def with_heartbeat(changes: DataFrame) -> DataFrame:
+    """A stream of changes (path, ts, file_type) with a row without a path each second, so that time goes on when nothing changes."""
     beat = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
     none = F.lit(None).cast("string")
-    return changes.select("path", "ts", "file_type").unionByName(beat.select(none.alias("path"), F.col("timestamp").alias("ts"), none.alias("file_type")))
+    return changes.unionByName(beat.select(none.alias("path"), F.col("timestamp").alias("ts"), none.alias("file_type")), allowMissingColumns=True)
 
 
 def watch(changes: DataFrame, checkpoint: str, on_flag: Callable[[DataFrame], None], on_rebuild: Callable[[DataFrame], None], seconds: float = 3.0, late: str = "1 second", every: str | None = "500 milliseconds") -> StreamingQuery:
