@@ -224,27 +224,33 @@ def _links(table: pa.Table, least: pa.Table | None, targets: int, before: bool)
     top, doc, known, size = _holders(table)
     first, start = _firsts(top)
     length = np.diff(np.concatenate([start, [len(top)]]))
-    if least is None:
-        shared = np.repeat(length > 1, length)
-        anchor = known[np.repeat(doc[start], length)] if len(start) else doc
-        of = size[np.repeat(doc[start], length)] if len(start) else doc
+    if least is None:  # all holders are here: anchors are places in ids too
+        names, far = known, size
+        anchor = np.repeat(doc[start], length) if len(start) else doc
+        shared = ~first if before else np.repeat(length > 1, length)
+        pair = (doc[shared].astype(U64) << U64(32)) | anchor[shared].astype(U64)
+        if before:
+            near = np.flatnonzero(~first)
+            near = near[doc[near - 1] != anchor[near]]
+            pair = np.concatenate([pair, (doc[near].astype(U64) << U64(32)) | doc[near - 1].astype(U64)])
     else:
         keys, ids, sizes, _ = _read_known(least.column("data").to_pylist()) if least.num_rows else (top[:0], known[:0], size[:0], None)
         place = np.minimum(np.searchsorted(keys, top), max(len(keys) - 1, 0))
         shared = keys[place] == top if len(keys) else np.zeros(len(top), bool)
         anchor, of = (ids[place], sizes[place]) if len(keys) else (top.astype(np.int64), top.astype(np.int64))
-    if before:
-        later = np.flatnonzero(shared & (known[doc] != anchor))
-        near = np.flatnonzero(~first)
-        near = near[known[doc[near - 1]] != anchor[near]]
-        d = np.concatenate([doc[later], doc[near]])
-        a, of = np.concatenate([anchor[later], known[doc[near - 1]]]), np.concatenate([of[later], size[doc[near - 1]]])
-    else:
-        d, a, of = doc[shared], anchor[shared], of[shared]
-    names, number = np.unique(a, return_inverse=True)
-    far = np.zeros(len(names), np.int64)
-    far[number] = of
-    pair, n = np.unique((d.astype(U64) << U64(32)) | number.astype(U64), return_counts=True)
+        if before:
+            later = np.flatnonzero(shared & (known[doc] != anchor))
+            near = np.flatnonzero(~first)
+            near = near[known[doc[near - 1]] != anchor[near]]
+            d = np.concatenate([doc[later], doc[near]])
+            a, of = np.concatenate([anchor[later], known[doc[near - 1]]]), np.concatenate([of[later], size[doc[near - 1]]])
+        else:
+            d, a, of = doc[shared], anchor[shared], of[shared]
+        names, number = np.unique(a, return_inverse=True)
+        far = np.zeros(len(names), np.int64)
+        far[number] = of
+        pair = (d.astype(U64) << U64(32)) | number.astype(U64)
+    pair, n = np.unique(pair, return_counts=True)
     d, a = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
     target = (K.mix(known.astype(U64)) % U64(targets)).astype(np.int64)[d] if len(d) else d
     order = np.argsort(target, kind="stable")
