@@ -192,6 +192,25 @@ def test_fuzzy_passages_of_many_holders_and_split_anchors(spark):
         assert {d for _, d in found} | {3} == {d for _, d in whole}
 
 
+def test_fuzzy_passages_of_every_pair_that_holds_one(spark):
+    """All pairs of a popular passage's holders, whatever else holds its parts; parts in many texts, repeated words, a line of many texts, and copies."""
+    r = random.Random(9)
+    p, line = words(60, 51, 9000), words(13, 52, 9000)
+    docs = [words(30, 900 + k, 9000) + edited(p, 0.95, False, r) + words(20, 1000 + k, 9000) for k in range(36)]
+    docs += [words(30, 1100 + k, 9000) + line + words(30, 1200 + k, 9000) for k in range(40)]
+    q = words(50, 53, 9000)  # each of its seeds is known from a document of its own
+    docs += [words(40, 1300 + k, 9000) + q[k : k + 4] for k in range(47)] + [words(20, 54, 9000) + q, q + words(20, 55, 9000)]
+    docs += [words(20, 56, 9000) + ["again"] * 45, ["again"] * 50 + words(30, 57, 9000)]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in docs for w in t))}
+    codes = [[number[w] for w in t] for t in docs]
+    want = {(i, j) for j in range(len(docs)) for i in range(j) if local(codes[i], codes[j])} | {(0, 127), (126, 128)}
+    assert len(want) > 600 and {(123, 124), (125, 126)} <= want
+    docs += [docs[0], docs[126]]  # copies meet the first of them only
+    for most, share in ((collinear.B.MOST, 10**9), (9000, 50)):
+        rows = collinear.fuzzy_passages(docs_of(spark, [" ".join(t) for t in docs]), most=most, share=share).collect()
+        assert {(x["match_doc"], x["doc_id"]) for x in rows} == want and len({tuple(x) for x in rows}) == len(rows)
+
+
 def test_chains_are_cut_where_nothing_matches():
     p, q = words(60, 31, 9000), words(60, 32, 9000)
     a, b = p + words(200, 33, 9000) + q, p + words(200, 34, 9000) + q
