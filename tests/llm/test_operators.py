@@ -211,6 +211,54 @@ def test_fuzzy_passages_of_every_pair_that_holds_one(spark):
         assert {(x["match_doc"], x["doc_id"]) for x in rows} == want and len({tuple(x) for x in rows}) == len(rows)
 
 
+def test_shared_passages_has_a_row_for_each_document(spark):
+    """Links, classes and one passage against brute force; rows follow the documents though links follow the pairs."""
+    r = random.Random(19)
+    p = words(60, 61, 9000)
+    docs = [words(30, 1500 + k, 9000) + edited(p, 0.85, False, r) + words(20, 1600 + k, 9000) for k in range(60)]
+    docs += [words(20, 1700 + k, 9000) + ["again"] * (36 + k) for k in range(40)]
+    for k in range(12):  # just enough equal words, and one too few
+        q = words(40, 1800 + k, 9000)
+        docs += [words(10, 1900 + k, 9000) + q, ["other" if (i % 5 == 2) or (k % 2 and i == 20) else w for i, w in enumerate(q)] + words(10, 2000 + k, 9000)]
+    docs += [words(50, 62, 9000)] * 2 + [words(50, 63, 9000), docs[3], docs[3]]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in docs for w in t))}
+    codes = [[number[w] for w in t] for t in docs]
+    first = [docs.index(t) for t in docs]
+    partners = {i: {j for j in set(first) if j != i and local(codes[i], codes[j])} for i in set(first)}
+    group = {i: i for i in partners}
+    for _ in docs:
+        group = {i: min(group[j] for j in {i} | partners[i]) for i in group}
+    copied = {i for i in partners if first.count(i) > 1}
+    want = {(k, group[i], i, len(partners[i])) for k, i in enumerate(first) if partners[i] or i in copied}
+    assert sum(n for *_, n in want) > 2000 and any(n == 1 for *_, n in want) and any(k not in {w[0] for w in want} for k in range(100, 124))
+    for most, share in ((collinear.B.MOST, 10**9), (9000, 50)):
+        rows = collinear.shared_passages(docs_of(spark, [" ".join(t) for t in docs]), most=most, share=share).collect()
+        assert len(rows) == len(want) < len(docs) and {(x["doc_id"], x["class_id"], x["text_id"], x["links"]) for x in rows} == want
+        for x in rows:
+            assert x["match_doc"] in partners[x["text_id"]] or (not x["links"] and x["match_doc"] != x["doc_id"] and first[x["match_doc"]] == x["text_id"])
+            a, b = docs[x["doc_id"]][x["start"] : x["end"]], docs[x["match_doc"]][x["match_start"] : x["match_end"]]
+            assert a[0] == b[0] and a[-1] == b[-1] and x["identity"] == x["matched"] / max(len(a), len(b), collinear.MIN_WORDS) >= 0.8
+
+
+def test_windows_of_two_texts():
+    import pyarrow as pa
+
+    from weftgraph.llm import kernels as K
+
+    r = random.Random(20)
+    for k in range(60):
+        a = words(r.randrange(40, 120), 2100 + k, r.choice([2, 5, 9000]))
+        b = words(r.randrange(30), 2200 + k, 9000) + edited(a[: r.randrange(40, 90)], r.choice([0.75, 0.8, 0.85]), False, r)
+        ws = [K.Words(pa.array([" ".join(t)])) for t in (a, b)]
+        ga, gb = (K.ngrams(w, collinear.CHAIN_K, short=False)[0] for w in ws)
+        order = np.argsort(ga, kind="stable")
+        got = collinear.window(ws[0].hash, ws[1].hash, collinear.Index(ga[order], order, ga), gb)
+        assert (got is not None) == local(a, b)
+        if got:
+            a0, a1, b0, b1, matched = got
+            assert a1 - a0 == b1 - b0 <= 40 and matched == sum(x == y for x, y in zip(a[a0:a1], b[b0:b1])) >= 32
+
+
 def test_chains_are_cut_where_nothing_matches():
     p, q = words(60, 31, 9000), words(60, 32, 9000)
     a, b = p + words(200, 33, 9000) + q, p + words(200, 34, 9000) + q
