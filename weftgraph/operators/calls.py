@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import call_keys
 from weftgraph.operators.normalize import first_wins
+from weftgraph.session import shared_checkpoints
+
+
+#: Rows a side of a cell of imports and entities of one file.
+CELL = 4000
 
 
 def lookup_name(x: Column) -> Column:
@@ -73,15 +78,26 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, returns:
     return one.select(F.col("caller").alias("source"), "target", F.lit("calls").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("confidence_score"), F.lit(1.0).alias("weight"), "ord")
 
 
-def import_uses(entities: DataFrame, imports: DataFrame) -> DataFrame:
+def import_uses(entities: DataFrame, imports: DataFrame, cell: int = CELL) -> DataFrame:
     """(source, target, line, relation, confidence, weight): every entity of a file uses what the file imports by name.
 
     entities: (id, label, module, source_file, kind), functions aside; imports:
     (source_file, module, name, line).  A module's name is its last segment; of
     entities that share module and label the last id counts.
+
+    A row is a pair of an import and an entity of its file, and both are
+    distinct before they meet, so that nothing is gathered after.  A file's
+    pairs are dealt out in cells of `cell` imports or entities a side.
     """
+    shared_checkpoints(entities.sparkSession)
     known = entities.groupBy("module", F.col("label").alias("name")).agg(F.max("id").alias("target"))
     local = entities.filter("kind <> 'function'").select(F.col("id").alias("source"), "source_file")
-    met = imports.withColumn("module", F.substring_index("module", ".", -1)).join(known, ["module", "name"]).join(local, "source_file")
-    out = met.select("source", "target", "line").distinct()
+    met = imports.withColumn("module", F.substring_index("module", ".", -1)).join(known, ["module", "name"]).select("source_file", "target", "line")
+    met, local = met.distinct().checkpoint(), local.distinct().checkpoint()
+    shares = lambda df: df.groupBy("source_file").agg(F.ceil(F.count("*") / F.lit(float(cell))).cast("int").alias("n"))
+    files = shares(met).withColumnRenamed("n", "m").join(shares(local), "source_file")
+    deal = lambda df, own, other, at: df.join(files, "source_file").select("*", F.pmod(F.xxhash64(*at), F.col(own)).cast("int").alias(f"_{own}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}")).drop("m", "n")
+    out = deal(met, "m", "n", ["target", "line"]).join(deal(local, "n", "m", ["source"]), ["source_file", "_m", "_n"]).select("source", "target", "line")
+    if not local.groupBy("source").count().filter("count > 1").isEmpty():  # an entity of several files may meet the same import in each
+        out = out.distinct()
     return out.withColumns({"relation": F.lit("uses"), "confidence": F.lit("INFERRED"), "weight": F.lit(0.8)})
