@@ -9,6 +9,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.folding import norm_label
 from weftgraph.functions.predicates import default_score
 from weftgraph.graph import Graph
+from weftgraph.operators.metrics import between_communities
 from weftgraph.operators.ordering import number_rows
 
 
@@ -104,12 +105,11 @@ def canvas_edges(g: Graph, most: int = 200) -> DataFrame:
 
 def wiki_articles(g: Graph, nodes: int = 25, links: int = 12) -> DataFrame:
     """(cid, part, rank, value, n): best connected members and most linked communities of each article."""
-    n = g.ranked.join(g.communities.withColumnRenamed("node_id", "id"), "id")
+    n = g.placed.filter("cid is not null")
     w = Window.partitionBy("cid").orderBy(F.desc("degree"), "id")
     top = n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= nodes).select("cid", F.lit("node").alias("part"), "rank", F.col("id").alias("value"), F.col("degree").alias("n"))
-    c = g.communities
-    e = g.ends.join(c.select(F.col("node_id").alias("_a"), "cid"), F.col("id") == F.col("_a")).join(c.select(F.col("node_id").alias("_b"), F.col("cid").alias("far")), F.col("other") == F.col("_b")).filter("cid <> far")
-    x = e.groupBy("cid", "far").agg(F.count("*").alias("n"))
+    pairs = between_communities(g).select("c1", "c2", F.col("edges").alias("n"))  # few: a row for two communities
+    x = pairs.select(F.explode(F.array(F.struct(F.col("c1").alias("cid"), F.col("c2").alias("far")), F.struct(F.col("c2").alias("cid"), F.col("c1").alias("far")))).alias("p"), "n").select("p.*", "n")
     v = Window.partitionBy("cid").orderBy(F.desc("n"), "far")
     far = x.withColumn("rank", F.row_number().over(v)).filter(F.col("rank") <= links).select("cid", F.lit("link").alias("part"), "rank", F.col("far").cast("string").alias("value"), "n")
     return top.unionByName(far)
