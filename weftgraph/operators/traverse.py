@@ -37,10 +37,43 @@ def starts(g: Graph, words: list[str], top: int) -> DataFrame:
     return search(g, words).orderBy(F.desc("score"), F.desc("id")).limit(top).withColumn("rank", F.row_number().over(w))
 
 
-def _near(g: Graph, again: bool) -> DataFrame:
-    """(id, other) of all edges from both ends, repeated ones too; a graph that is read from storage is read again at each level, another is written once."""
-    near = g.ends.select("id", "other").filter("id <> other")
-    return near if g.known_both is not None or not again else near.checkpoint()
+#: Nodes of a level up to which it is sent to all tasks, so that the edges stay where they are.
+MOST_SENT = 1_000_000
+
+
+def _step(g: Graph, front: DataFrame, size: int, *more: str) -> DataFrame:
+    """Arcs (key, other, ...) from a level of `size` nodes."""
+    arcs = g.arcs(*more).filter("key <> other")
+    return arcs.join(F.broadcast(front.select("key")) if size <= MOST_SENT else front.select("key"), "key")
+
+
+def _fresh(found: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Found nodes that aren't in the levels before, of which only the last two can hold a neighbour.
+
+    An outer join: an anti join would be moved below the join of edges and level, and all edges with it.
+    """
+    seen = reduce(DataFrame.unionByName, [df.select(F.col("key").alias("_s")) for df in levels[-2:]])
+    return found.join(seen, F.col("key") == F.col("_s"), "left").filter("_s is null").drop("_s")
+
+
+def _levels(g: Graph, start: DataFrame, depth: int, more: list[str]) -> list[DataFrame]:
+    """(key, id, parent, ...) of each level; the parent is the neighbour of the level before with the smallest id, `more` are columns of the edge to it.  All but the last are written."""
+    shared_checkpoints(start.sparkSession)
+    levels = [start.select("id").distinct().select(g.key(F.col("id")).alias("key"), "id", F.lit(None).cast("string").alias("parent"), *[F.lit(None).cast("string").alias(c) for c in more]).checkpoint()]
+    for level in range(1, depth + 1):
+        size = levels[-1].count()
+        step = _step(g, levels[-1].filter("key is not null"), size, *more)
+        parent = g.name(F.col("key")).alias("parent")
+        best = F.min(F.struct(parent, *more)) if more else F.min(parent)
+        found = _fresh(step.groupBy(F.col("other").alias("key")).agg(best.alias("_b")), levels)
+        found = found.select("key", g.name(F.col("key")).alias("id"), *([f"_b.{c}" for c in ("parent", *more)] if more else [F.col("_b").alias("parent")]))
+        levels.append(found.checkpoint() if level < depth else found)
+    return levels
+
+
+def _ball(g: Graph, start: DataFrame, depth: int, more: list[str]) -> DataFrame:
+    parts = [df.select("id", F.lit(k).alias("level"), "parent", *more) for k, df in enumerate(_levels(g, start, depth, more))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ball(g: Graph, start: DataFrame, depth: int) -> DataFrame:
@@ -49,17 +82,12 @@ def ball(g: Graph, start: DataFrame, depth: int) -> DataFrame:
     The parent is the neighbour of the level before with the smallest id, so
     that the tree doesn't depend on partitions.
     """
-    shared_checkpoints(start.sparkSession)
-    near = _near(g, depth > 1)
-    seen = start.select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")).checkpoint()
-    for level in range(1, depth + 1):
-        front = seen.filter(F.col("level") == level - 1).select("id")
-        found = near.join(front, "id").groupBy(F.col("other").alias("nid")).agg(F.min("id").alias("parent"))
-        new = found.join(seen.select(F.col("id").alias("_s")), F.col("nid") == F.col("_s"), "left_anti").select(F.col("nid").alias("id"), F.lit(level).alias("level"), "parent")
-        seen = seen.unionByName(new)
-        if level < depth:
-            seen = seen.checkpoint()
-    return seen
+    return _ball(g, start, depth, [])
+
+
+def tree(g: Graph, start: DataFrame, depth: int) -> DataFrame:
+    """The ball; of a graph that has one edge a pair for sure, also with relation and confidence of the edge from the parent."""
+    return _ball(g, start, depth, ["relation", "confidence"] if g.codes else [])
 
 
 #: Nodes that a depth-first walk may have to choose from.
@@ -97,31 +125,42 @@ def dfs(g: Graph, start: list[str], depth: int, most: int = MOST_WALKED) -> Data
 
 
 def path(g: Graph, a: str, b: str) -> list[str] | None:
-    """Ids along a shortest path from a to b, of any length, or None: levels from a until b is met, then parents back.
+    """Ids along a shortest path from a to b, of any length, or None.
 
-    Each level is written by itself; a node's parent is its neighbour of the
-    level before with the smallest id.  Walking back reads one row of each level.
+    Levels are walked from both ends, each time where the last one is smaller,
+    until they meet; all shortest paths lead through nodes of both.  Walking
+    back from b, a node's parent is its neighbour one step nearer to a with the
+    smallest id, as if levels had been walked from a alone.
     """
     if a == b:
         return [a]
     spark = g.nodes.sparkSession
     shared_checkpoints(spark)
-    near = _near(g, True)
-    levels = [spark.createDataFrame([(a, None)], "id string, parent string")]
-    seen = levels[0].select("id")
+    ends = spark.createDataFrame([(a,), (b,)], "id string")
+    sides = [[ends.filter(F.col("id") == x).select(g.key(F.col("id")).alias("key")).filter("key is not null").checkpoint()] for x in (a, b)]
+    size, most = [1, 1], 1
     while True:
-        found = near.join(levels[-1].select("id"), "id").groupBy(F.col("other").alias("nid")).agg(F.min("id").alias("parent"))
-        new = found.join(seen.select(F.col("id").alias("_s")), F.col("nid") == F.col("_s"), "left_anti").select(F.col("nid").alias("id"), "parent").checkpoint()
-        met = new.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == b, F.col("parent"))).alias("parent")).head()
-        if not met["n"]:
+        k = 0 if size[0] <= size[1] else 1
+        mine, other = sides[k], sides[1 - k]
+        new = _fresh(_step(g, mine[-1], size[k]).select(F.col("other").alias("key")).distinct(), mine).checkpoint()
+        size[k] = new.count()
+        most = max(most, size[k])
+        if not size[k]:
             return None
-        if met["parent"] is not None:
-            out = [b, met["parent"]]
-            for level in reversed(levels[1:]):
-                out.append(level.filter(F.col("id") == out[-1]).head()["parent"])
-            return out[::-1]
-        levels.append(new)
-        seen = seen.unionByName(new.select("id"))
+        mine.append(new)
+        met = new.join(other[-1], "key", "left_semi").checkpoint()
+        if not met.isEmpty():
+            break
+    ways = sides[0][:-1] + [met]  # nodes of shortest paths, or more, by their distance from a
+    for level in sides[1][-2::-1]:
+        near = g.arcs().join(F.broadcast(ways[-1]) if most <= MOST_SENT else ways[-1], "key").select(F.col("other").alias("key")).distinct()
+        ways.append(level.join(near, "key", "left_semi").checkpoint())
+    out = [b]
+    for level in ways[-2::-1]:
+        x = g.key(F.lit(out[-1]))
+        beside = g.links.filter((F.col("a") == x) | (F.col("b") == x)).select(F.when(F.col("a") == x, F.col("b")).otherwise(F.col("a")).alias("key"))
+        out.append(beside.join(level, "key", "left_semi").agg(F.min(g.name(F.col("key")))).head()[0])
+    return out[::-1]
 
 
 def find_node(g: Graph, label: str, top: int = 1) -> DataFrame:
